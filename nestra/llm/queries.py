@@ -6,10 +6,17 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, mixing, simhash
+from . import chat, decontaminate, language, licenses, mixing, ogg, simhash
 from .common import read
 
 
+def op1_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    conversations = read(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    said = "</s>[INST] ok [/INST]"
+    probe = spark.range(2).selectExpr("cast(-1 as bigint) conv_id", "id turn", "if(id = 0, 'user', 'assistant') role", f"'{said}' text")
+    return chat.digest(chat.expand(conversations.unionByName(probe)))
+
+
 def op2_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.digest(decontaminate.matches(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark")))
 
@@ -18,6 +25,18 @@ def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(read(spark, sf_dir, "documents"))
 
 
+def op5_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(read(spark, sf_dir, "documents"))
+
+
+def op7_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language.identify(read(spark, sf_dir, "documents"))
+
+
+def op9_ogg(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ogg.digest(ogg.media(read(spark, sf_dir, "documents")))
+
+
 def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.plan(read(spark, sf_dir, "documents"))
 
@@ -68,5 +87,18 @@ JOIN rest ON d.source IS NOT DISTINCT FROM rest.source
 """
 
 
+_OP1 = r"""
+WITH c AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+           UNION ALL SELECT -1, i, CASE i WHEN 0 THEN 'user' ELSE 'assistant' END, '</s>[INST] ok [/INST]' FROM range(2) t(i)),
+e AS (SELECT *, length(role) + length(text) + 23
+             + len(regexp_extract_all(role, '[<\[]\\*(?:\||/?INST\]|/?s>|</?SYS>>)')) + len(regexp_extract_all(text, '[<\[]\\*(?:\||/?INST\]|/?s>|</?SYS>>)')) AS n FROM c)
+SELECT CAST(conv_id AS BIGINT) AS conv_id, CAST(count(*) AS BIGINT) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn NULLS FIRST, role, text)) AS turns_sha256,
+       CAST(coalesce(sum(length(text)) FILTER (WHERE role = 'assistant'), 0) AS BIGINT) AS loss_chars,
+       sha256(coalesce(string_agg(text, '' ORDER BY turn NULLS FIRST, role, text) FILTER (WHERE role = 'assistant'), '')) AS loss_sha256,
+       CAST(sum(n) AS BIGINT) AS formatted_chars, CAST(count(*) FILTER (WHERE role = 'assistant') AS BIGINT) AS n_examples
+FROM e GROUP BY conv_id
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op2_decontaminate": _OP2, "op10_mixing": _OP10}
+    return {"op1_chat": _OP1, "op2_decontaminate": _OP2, "op10_mixing": _OP10}
