@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat, decontaminate, html_content, language, licenses, mixing, ogg, pii, simhash
+from . import chat, decontaminate, html_content, language, licenses, mixing, ogg, perplexity, pii, simhash
 from .common import read
 
 
@@ -41,6 +41,10 @@ def op7_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language.identify(read(spark, sf_dir, "documents"))
 
 
+def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return perplexity.classify(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
+
+
 def op9_ogg(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ogg.digest(ogg.media(read(spark, sf_dir, "documents")))
 
