@@ -22,8 +22,6 @@ WORD_TABLE = bytes(
 )
 #: ASCII white space only separates here: U+0020 and U+0009 to U+000D.
 SPACE_TABLE = bytes(b + 32 if 65 <= b <= 90 else 32 if 9 <= b <= 13 else b for b in range(256))
-#: The words it leaves, for regular expressions.
-SPACE_WORDS = r"[^\x20\x09-\x0D]+"
 
 
 def words(data: bytes) -> list[bytes]:

@@ -21,7 +21,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import SPACE_WORDS, small, stored
+from .common import small, stored
 
 WEIGHTS = (5, 2, 1)
 SHARE, MAX_EPOCHS, SEED = 1.5, 2, "mix-1"
@@ -29,11 +29,14 @@ SHARE, MAX_EPOCHS, SEED = 1.5, 2, "mix-1"
 SLICE_ROWS = 20_000
 
 
+def _words(text: Column) -> Column:
+    blank = "".join(chr(b) for b in range(9, 14))
+    return F.filter(F.split(F.translate(text, blank, " " * len(blank)), " ", -1), lambda w: w != "")
+
+
 def size(text: Column) -> Column:
     """Number of words ``[^\\x20\\x09-\\x0D]+``; 0 for null."""
-    blank = "".join(chr(b) for b in range(9, 14))
-    spaced = F.translate(text, blank, " " * len(blank))
-    return F.coalesce(F.size(F.filter(F.split(spaced, " ", -1), lambda w: w != "")), F.lit(0)).cast("long")
+    return F.when(text.isNull(), 0).otherwise(F.size(_words(text))).cast("long")
 
 
 def order_key(doc_id: Column, seed: str = SEED) -> Column:
@@ -120,7 +123,7 @@ def mix(documents: DataFrame, weights: Sequence[int] = WEIGHTS, share: float = S
     """The mixture itself: the documents' columns, a row per repetition, then ``mix_epoch`` (from 1) and
     ``mix_words`` (words of this row). Texts are not shuffled.
 
-    The document in which a source's words run out yields its first words in that repetition; ``n_chars``, if
+    The document in which a source's words run out yields its first words, joined by blanks, in that repetition; ``n_chars``, if
     there, follows. Documents that the mix does not take have no row.
     """
     keys = _keys(documents, seed)
@@ -132,7 +135,7 @@ def mix(documents: DataFrame, weights: Sequence[int] = WEIGHTS, share: float = S
     epochs = F.col("__whole") + (F.col("__part") > 0).cast("long")
     rows = rows.where(F.col("__size") > 0).withColumn("mix_epoch", F.explode(F.when(epochs > 0, F.sequence(F.lit(1).cast("long"), epochs))))
     full = (F.col("mix_epoch") <= F.col("__whole")) | (F.col("__part") == F.col("__size"))
-    first = F.regexp_extract("text", F.concat(F.lit(f"^(?:[\\x20\\x09-\\x0D]*{SPACE_WORDS}){{"), F.col("__part").cast("string"), F.lit("}")), 0)
+    first = F.array_join(F.slice(_words(F.col("text")), 1, F.greatest(F.col("__part"), F.lit(0)).cast("int")), " ")
     changed = {"text": F.when(full, F.col("text")).otherwise(first)}
     if "n_chars" in documents.columns:
         changed["n_chars"] = F.when(full, F.col("n_chars")).otherwise(F.char_length(first))
