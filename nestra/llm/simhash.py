@@ -58,18 +58,18 @@ def fingerprint(data: bytes) -> int:
     return int(np.packbits(2 * ones > len(hashes)).view(">i8")[0])
 
 
-def fingerprints(documents: DataFrame, *columns: str) -> DataFrame:
-    """``columns`` of the documents and their ``fp`` (long)."""
+def fingerprints(documents: DataFrame, *columns: str, name: str = "fp") -> DataFrame:
+    """``columns`` of the documents and their fingerprint (long) as ``name``."""
     kept = documents.select(*columns, F.col("text").alias("__text"))
     if "text" in columns:
         kept = documents.select(*columns)
     at = kept.columns.index("text") if "text" in columns else len(columns)
-    schema = T.StructType([documents.schema[c] for c in columns] + [T.StructField("fp", T.LongType())])
+    schema = T.StructType([documents.schema[c] for c in columns] + [T.StructField(name, T.LongType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             fps = pa.array([fingerprint(t or b"") for t in utf8(batch.column(at))], pa.int64())
-            yield pa.RecordBatch.from_arrays([*batch.columns[: len(columns)], fps], names=[*columns, "fp"])
+            yield pa.RecordBatch.from_arrays([*batch.columns[: len(columns)], fps], names=[*columns, name])
 
     return kept.mapInArrow(run, schema)
 
@@ -194,16 +194,15 @@ def deduplicate(documents: DataFrame, k: int = BITS) -> DataFrame:
     named = stored(marked.join(_named(marked, k), "fp"))
     gone = named.where(~F.col("doc_id").eqNullSafe(F.col("component_id"))).select("doc_id", "fp").distinct()
     again = named.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).groupBy("component_id").agg(F.count(F.lit(1)).alias("n"), F.min("fp").alias("fp")).where("n > 1").select(F.col("component_id").alias("doc_id"), "fp")
-    columns = [c for c in documents.columns]
-    full = fingerprints(documents, *columns)
+    full = fingerprints(documents, *documents.columns, name="__full")
     gone = small(stored(gone).toDF("__id", "__fp"))
-    match = full["doc_id"].eqNullSafe(gone["__id"]) & (full["fp"] == gone["__fp"])
+    match = full["doc_id"].eqNullSafe(gone["__id"]) & (full["__full"] == gone["__fp"])
     kept = full.join(gone, match, "left_anti")
     again = stored(again)
     if not again.limit(1).count():
-        return kept.drop("fp")
+        return kept.drop("__full")
     twice = small(again.toDF("__id", "__fp"))
     same = kept["doc_id"].eqNullSafe(twice["__id"])
     once = kept.join(twice, same, "left_anti")
-    repeated = kept.join(twice, same & (kept["fp"] == twice["__fp"]), "left_semi").dropDuplicates(["doc_id"])
-    return once.unionByName(repeated).drop("fp")
+    repeated = kept.join(twice, same & (kept["__full"] == twice["__fp"]), "left_semi").dropDuplicates(["doc_id"])
+    return once.unionByName(repeated).drop("__full")
