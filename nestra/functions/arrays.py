@@ -172,8 +172,20 @@ def index_of(p: Callable[[Column], Column], xs: Column) -> Column:
 
 def search(text: Column, pattern: str) -> Column:
     """0-based starts of all occurrences, overlapping ones too."""
-    n = F.char_length(text) - len(pattern) + 1
-    return F.filter(_upto(n), lambda i: F.substring(text, i + 1, F.lit(len(pattern))) == pattern)
+    if not pattern:
+        return _upto(F.char_length(text) + 1)
+    quoted = "\\Q" + pattern.replace("\\E", "\\E\\\\E\\Q") + "\\E"
+    # one pass cuts the text before each occurrence; a piece starts where the lengths before it end
+    sizes = F.transform(F.split(text, f"(?={quoted})"), lambda p: F.char_length(p).cast("long"))
+    empty = F.array().cast("array<bigint>")
+    ends = F.aggregate(
+        sizes,
+        F.struct(F.lit(0).cast("long").alias("at"), empty.alias("ends")),
+        lambda s, n: F.struct((s["at"] + n).alias("at"), F.concat(s["ends"], F.array(s["at"] + n)).alias("ends")),
+        lambda s: s["ends"],
+    )
+    first = F.when(text.startswith(pattern), F.array(F.lit(0).cast("long"))).otherwise(empty)
+    return F.concat(first, F.slice(ends, F.lit(1), F.greatest(F.size(ends) - 1, F.lit(0))))
 
 
 def split_words(text: Column) -> Column:
