@@ -145,6 +145,17 @@ def scan(f: Callable[[Column, Column], Column], zero: Column, xs: Column) -> Col
     return F.aggregate(xs, F.struct(F.slice(F.array(zero), 1, 0).alias("out"), zero.alias("at")), step, lambda a: a["out"])
 
 
+def scan_inclusive(f: Callable[[Column, Column], Column], xs: Column) -> Column:
+    """Running folds from the first element on."""
+    step = lambda out, x: F.concat(out, F.array(F.when(F.size(out) == 0, x).otherwise(f(F.get(out, F.size(out) - 1), x))))
+    return F.aggregate(xs, F.slice(xs, 1, 0), step)
+
+
+def fold_right(f: Callable[[Column, Column], Column], zero: Column, xs: Column) -> Column:
+    """``f(x, rest)`` from the last element back."""
+    return F.aggregate(F.reverse(xs), zero, lambda a, x: f(x, a))
+
+
 def sum_array(xs: Column, zero=0.0) -> Column:
     return F.aggregate(xs, F.lit(zero), lambda a, x: a + x)
 
@@ -165,6 +176,24 @@ def or_array(xs: Column) -> Column:
     return F.exists(xs, lambda x: x)
 
 
+def take(n: Column, xs: Column) -> Column:
+    return F.slice(xs, F.lit(1), F.greatest(n.cast("int"), F.lit(0)))
+
+
+def contains(xs: Column, value) -> Column:
+    return F.exists(xs, lambda x: x == value)
+
+
+def lookup(key: Column, pairs: Column) -> Column:
+    """The value of the first of ``pairs`` (k, v) with this key, else null."""
+    return F.get(F.filter(pairs, lambda p: p["k"] == key), F.lit(0))["v"]
+
+
+def cross(xs: Column, ys: Column) -> Column:
+    """All pairs (a, b); the first index varies fastest."""
+    return F.flatten(F.transform(ys, lambda y: F.transform(xs, lambda x: F.struct(x.alias("a"), y.alias("b")))))
+
+
 def index_of(p: Callable[[Column], Column], xs: Column) -> Column:
     """Positions of the matches."""
     return F.transform(F.filter(indexed(xs), lambda e: p(e["v"])), lambda e: e["ix"])

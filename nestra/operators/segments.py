@@ -87,6 +87,26 @@ def count_s(xs: Nested, value) -> DataFrame:
     return fold_s(lambda v: F.count_if(v == F.lit(value)), 0, xs)
 
 
+def product_s(xs: Nested) -> DataFrame:
+    return fold_s(F.product, 1.0, xs)
+
+
+def and_s(xs: Nested) -> DataFrame:
+    return fold_s(F.bool_and, True, xs)
+
+
+def or_s(xs: Nested) -> DataFrame:
+    return fold_s(F.bool_or, False, xs)
+
+
+def max_s(xs: Nested) -> DataFrame:
+    return fold1_s(F.max, xs)
+
+
+def min_s(xs: Nested) -> DataFrame:
+    return fold1_s(F.min, xs)
+
+
 def min_index_s(xs: Nested) -> DataFrame:
     return xs.elems.groupBy("seg").agg(F.min_by("pos", F.struct("v", "pos")).alias("v"))
 
@@ -123,6 +143,13 @@ def append_s(xs: Nested, ys: Nested) -> Nested:
     return Nested(plus_segd(xs.segs, ys.segs), xs.elems.unionByName(right))
 
 
+def appends(xs: Nested, ys: Nested) -> Nested:
+    """The segments of ``ys`` after those of ``xs``; segs of both are numbered from 0."""
+    n = F.broadcast(xs.segs.agg(F.count(F.lit(1)).alias("_n")))
+    after = lambda rows: rows.crossJoin(n).withColumn("seg", F.col("seg") + F.col("_n")).drop("_n")
+    return Nested(xs.segs.unionByName(after(ys.segs)), xs.elems.unionByName(after(ys.elems)))
+
+
 def pack_s(p: Callable[[Column], Column], xs: Nested) -> Nested:
     """Matches of each segment; segments stay, also when nothing matches."""
     kept = rebase_segments(xs.elems.where(p(F.col("v"))))
@@ -195,6 +222,20 @@ def extracts(ssegd: DataFrame, data: DataFrame) -> Nested:
     return Nested(ssegd.select("seg", "len"), got.select("seg", F.col("_k").alias("pos"), "v"))
 
 
+def fold_ss(agg: Callable[[Column], Column], zero, ssegd: DataFrame, data: DataFrame) -> DataFrame:
+    """One result per scattered segment of ``data`` ((source, pos, v) rows), ``zero`` for the empty ones."""
+    return fold_s(agg, zero, extracts(ssegd, data))
+
+
+def fold1_ss(agg: Callable[[Column], Column], ssegd: DataFrame, data: DataFrame) -> DataFrame:
+    return fold1_s(agg, extracts(ssegd, data))
+
+
+def get_segment(descriptor: DataFrame, i: int, of: str = "seg") -> DataFrame:
+    """The row of one segment."""
+    return descriptor.where(F.col(of) == i)
+
+
 def replicated(spark: SparkSession, n: int) -> DataFrame:
     """A bridge of n virtual segments that share physical segment 0."""
     return spark.range(n).select(F.col("id").alias("vseg"), F.lit(0).cast("long").alias("pseg"))
@@ -225,6 +266,15 @@ def append_vsegd(a: DataFrame, a_psegs: int, b: DataFrame) -> DataFrame:
     return a.select("vseg", "pseg").unionByName(b.crossJoin(n).select((F.col("vseg") + F.col("_n")).alias("vseg"), (F.col("pseg") + a_psegs).alias("pseg")))
 
 
+def combine2_vsegd(tags: DataFrame, a: DataFrame, a_psegs: int, b: DataFrame) -> DataFrame:
+    """Bridges merged: tag 0 takes the next virtual segment of ``a``, tag 1 of ``b``, whose physical ones follow."""
+    from .flat import selector
+
+    both = a.select(F.lit(0).alias("tag"), F.col("vseg").alias("src_ix"), "pseg")
+    both = both.unionByName(b.select(F.lit(1).alias("tag"), F.col("vseg").alias("src_ix"), (F.col("pseg") + a_psegs).alias("pseg")))
+    return selector(tags).join(both, ["tag", "src_ix"]).select(F.col("pos").alias("vseg"), "pseg")
+
+
 def fold_vs(agg: Callable[[Column], Column], zero, bridge: DataFrame, xs: Nested) -> DataFrame:
     """Folds each physical segment once and joins the results out to the virtual ones."""
     if xs.manifest and bridge is None:
@@ -237,3 +287,20 @@ def demote(bridge: DataFrame, xs: Nested) -> Nested:
     """Sharing spelled out."""
     segs = bridge.join(xs.segs, bridge["pseg"] == xs.segs["seg"]).select(F.col("vseg").alias("seg"), "len")
     return Nested(segs, bridge.join(xs.elems, bridge["pseg"] == xs.elems["seg"]).select(F.col("vseg").alias("seg"), "pos", "v"))
+
+
+def fold1_vs(agg: Callable[[Column], Column], bridge: DataFrame, xs: Nested) -> DataFrame:
+    """Of the virtual segments that have elements; each physical one is folded once."""
+    per = fold1_s(agg, xs)
+    return bridge.join(per, bridge["pseg"] == per["seg"]).select(F.col("vseg").alias("seg"), "v")
+
+
+def index_vs(bridge: DataFrame, xs: Nested, at: DataFrame) -> DataFrame:
+    """(pos, vseg, ix) to (pos, v): element ix of a virtual segment, without spelling the sharing out."""
+    places = at.join(bridge, "vseg").select(at["pos"].alias("_to"), F.col("pseg").alias("seg"), F.col("ix").alias("pos"))
+    return places.join(xs.elems, ["seg", "pos"]).select(F.col("_to").alias("pos"), "v")
+
+
+def append_vs(x_bridge: DataFrame, xs: Nested, y_bridge: DataFrame, ys: Nested) -> Nested:
+    """Segment-wise append of virtual segments."""
+    return append_s(demote(x_bridge, xs), demote(y_bridge, ys))

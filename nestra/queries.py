@@ -488,6 +488,105 @@ def combine_s_lengths(spark, d):
     return segments.combine_s(kinds(spark, d), dense, dense).segs
 
 
+def flags_s(spark, d) -> segments.Nested:
+    xs = lines(spark, d)
+    return segments.Nested(xs.segs, xs.elems.withColumn("v", F.col("v") > 25))
+
+
+@query(f"WITH {L_} SELECT sl.seg, coalesce(bool_and(v > 25), true) AS v FROM sl LEFT JOIN el USING (seg) GROUP BY 1")
+def and_s(spark, d):
+    return segments.and_s(flags_s(spark, d))
+
+
+@query(f"WITH {L_} SELECT sl.seg, coalesce(bool_or(v > 25), false) AS v FROM sl LEFT JOIN el USING (seg) GROUP BY 1")
+def or_s(spark, d):
+    return segments.or_s(flags_s(spark, d))
+
+
+@query(f"WITH {L_} SELECT sl.seg, coalesce(product(v % 3 + 1), 1.0)::DOUBLE AS v FROM sl LEFT JOIN el USING (seg) GROUP BY 1")
+def product_s(spark, d):
+    xs = lines(spark, d)
+    return segments.product_s(segments.Nested(xs.segs, xs.elems.withColumn("v", F.col("v") % 3 + 1)))
+
+
+@query(f"WITH {L_} SELECT seg, max(v) AS v FROM el GROUP BY 1")
+def max_s(spark, d):
+    return segments.max_s(lines(spark, d))
+
+
+@query(f"WITH {L_} SELECT seg, min(v) AS v FROM el GROUP BY 1")
+def min_s(spark, d):
+    return segments.min_s(lines(spark, d))
+
+
+SS_ = "s AS (SELECT p_partkey AS seg, p_partkey % 4 AS len, p_partkey * 3 AS start FROM part)"
+
+
+def scattered(spark, d) -> tuple[DataFrame, DataFrame]:
+    """A scattered descriptor over two sources, and their data."""
+    ssegd = table(spark, d, "part").selectExpr("p_partkey seg", "p_partkey % 4 len", "p_partkey * 3 start", "p_partkey % 2 source")
+    return ssegd, cents(spark, d).selectExpr("explode(array(0L, 1L)) source", "pos", "v").withColumn("v", F.col("v") + F.col("source"))
+
+
+@query(f"WITH {SS_}, e AS ({C_}) SELECT seg, coalesce(sum(v + seg % 2), 0)::BIGINT AS v FROM s LEFT JOIN e ON pos >= start AND pos < start + len GROUP BY 1")
+def sum_ss(spark, d):
+    return segments.fold_ss(F.sum, 0, *scattered(spark, d))
+
+
+@query(f"WITH {SS_}, e AS ({C_}) SELECT seg, max(v + seg % 2) AS v FROM s JOIN e ON pos >= start AND pos < start + len GROUP BY 1")
+def fold1_ss(spark, d):
+    return segments.fold1_ss(F.max, *scattered(spark, d))
+
+
+@query("SELECT p_partkey AS seg, p_partkey % 4 AS len, p_partkey * 3 AS start, p_partkey % 2 AS source FROM part UNION ALL SELECT p_partkey + (SELECT count(*) FROM part), p_partkey % 4, p_partkey * 3, p_partkey % 2 + 2 FROM part")
+def append_ssegd(spark, d):
+    ssegd = scattered(spark, d)[0]
+    return segments.append_ssegd(ssegd, 2, ssegd)
+
+
+@query("SELECT p_partkey AS seg, p_partkey % 4 AS len, p_partkey * 3 AS start, p_partkey % 2 AS source FROM part WHERE p_partkey = 7")
+def get_segment(spark, d):
+    return segments.get_segment(scattered(spark, d)[0], 7)
+
+
+def bridge(spark, d) -> DataFrame:
+    """Events as virtual segments that share the first ten orders."""
+    return table(spark, d, "events").selectExpr("event_id vseg", "event_id % 10 pseg")
+
+
+@query("SELECT event_id AS vseg, event_id % 10 AS pseg FROM events UNION ALL SELECT event_id + (SELECT count(*) FROM events), event_id % 10 + 10 FROM events")
+def append_vsegd(spark, d):
+    return segments.append_vsegd(bridge(spark, d), 10, bridge(spark, d))
+
+
+@query("SELECT event_id AS vseg, (row_number() OVER (PARTITION BY user_id % 2 ORDER BY event_id) - 1) % 10 + user_id % 2 * 10 AS pseg FROM events")
+def combine2_vsegd(spark, d):
+    return segments.combine2_vsegd(kinds(spark, d), bridge(spark, d), 10, bridge(spark, d))
+
+
+@query(f"WITH {L_}, m AS (SELECT seg, max(v) AS v FROM el GROUP BY 1) SELECT event_id AS seg, v FROM events JOIN m ON m.seg = event_id % 10")
+def fold1_vs(spark, d):
+    return segments.fold1_vs(F.max, bridge(spark, d), lines(spark, d))
+
+
+@query(f"WITH {L_} SELECT user_id * 1000000 + event_id AS pos, v FROM events JOIN el ON el.seg = event_id % 10 AND el.pos = user_id % 3")
+def index_vs(spark, d):
+    at = table(spark, d, "events").selectExpr("user_id * 1000000 + event_id pos", "event_id vseg", "user_id % 3 ix")
+    return segments.index_vs(bridge(spark, d), lines(spark, d), at)
+
+
+@query(f"WITH {L_} SELECT c_custkey AS seg, pos, v FROM customer JOIN el ON el.seg = c_custkey % 10 UNION ALL SELECT c_custkey, pos + len, v FROM customer JOIN sl ON sl.seg = c_custkey % 10 JOIN el ON el.seg = c_custkey % 7")
+def append_vs(spark, d):
+    custs, xs = table(spark, d, "customer"), lines(spark, d)
+    return segments.append_vs(custs.selectExpr("c_custkey vseg", "c_custkey % 10 pseg"), xs, custs.selectExpr("c_custkey vseg", "c_custkey % 7 pseg"), xs).elems
+
+
+@query("SELECT vec_id + k * (SELECT count(*) FROM embeddings) AS seg, p - 1 AS pos, CAST(embedding[p] AS DOUBLE) AS v FROM embeddings, range(2) r(k), range(1, 4) t(p)")
+def appends(spark, d):
+    xs = segments.unnest(vectors(spark, d).select(F.col("vec_id").alias("seg"), F.slice("e", 1, 3).alias("v")))
+    return segments.appends(xs, xs).elems
+
+
 # --- nested arrays in rows
 
 
@@ -518,6 +617,12 @@ on_vectors("array_concat", "list_concat(e[1:2], e[5:7])", lambda e: A.concat(F.a
 on_vectors("array_enum", "CASE WHEN vec_id % 10 >= 3 THEN range(3, vec_id % 10 + 1) ELSE [] END", lambda e: A.enum_from_to(F.lit(3).cast("bigint"), F.col("vec_id") % 10))
 on_vectors("array_combine", "[e[1], e[11], e[12], e[2]]", lambda e: A.combine(F.array(F.lit(True), F.lit(False), F.lit(False), F.lit(True)), F.slice(e, 1, 2), F.slice(e, 11, 2)))
 on_vectors("array_scan", "[0.0, e[1], e[1] + e[2]]", lambda e: A.scan(lambda a, x: a + x, F.lit(0.0), F.slice(e, 1, 3)))
+on_vectors("array_scan_inclusive", "[e[1], e[1] + e[2], e[1] + e[2] + e[3]]", lambda e: A.scan_inclusive(lambda a, x: a + x, F.slice(e, 1, 3)))
+on_vectors("array_fold_right", "e[1] - (e[2] - (e[3] - 1.0))", lambda e: A.fold_right(lambda x, a: x - a, F.lit(1.0), F.slice(e, 1, 3)))
+on_vectors("array_take", "e[1:vec_id % 5]", lambda e: A.take(F.col("vec_id") % 5, e))
+on_vectors("array_contains", "list_contains(list_transform(e, lambda x: round(x, 1)), 0.3)", lambda e: A.contains(A.map_array(lambda x: F.round(x, 1), e), 0.3))
+on_vectors("array_lookup", "CASE WHEN vec_id % 3 = 1 THEN e[5] WHEN vec_id % 3 = 2 THEN e[6] END", lambda e: A.lookup(F.col("vec_id") % 3, F.array(*(F.struct(F.lit(k).alias("k"), F.get(e, F.lit(i)).alias("v")) for k, i in ((1, 4), (2, 5), (1, 6))))))
+on_vectors("array_cross", "[e[1] - e[3], e[2] - e[3], e[1] - e[4], e[2] - e[4]]", lambda e: A.map_array(lambda p: p["a"] - p["b"], A.cross(F.slice(e, 1, 2), F.slice(e, 3, 2))))
 on_vectors("array_fold1", "greatest(e[1], e[2], e[3])", lambda e: A.fold1(lambda a, x: F.greatest(a, x), F.slice(e, 1, 3)))
 on_vectors("array_index_of", "list_filter(range(64), lambda i: e[i + 1] > 0.2)", lambda e: A.index_of(lambda x: x > 0.2, e))
 on_vectors("array_any_all", "list_bool_or(list_transform(e, lambda x: x > 0.3)) AND NOT list_bool_and(list_transform(e, lambda x: x > 0.3))", lambda e: A.or_array(A.map_array(lambda x: x > 0.3, e)) & ~A.and_array(A.map_array(lambda x: x > 0.3, e)))

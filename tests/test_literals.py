@@ -99,3 +99,29 @@ def test_binary_files(spark, tmp_path):
         x = x * 16807 % (2**31 - 1)
         want.append(x / (2**31 - 1))
     assert np.allclose(binary.lehmer(5, 1234), want)
+
+
+def test_virtual_segments_share(spark):
+    xs = segments.unnest(spark.createDataFrame([(0, [5, 7]), (1, []), (2, [9])], "seg bigint, v array<bigint>"))
+    bridge = spark.createDataFrame([(0, 2), (1, 0), (2, 0), (3, 1)], "vseg bigint, pseg bigint")
+    assert dict(segments.fold1_vs(F.sum, bridge, xs).collect()) == {0: 9, 1: 12, 2: 12}
+    at = spark.createDataFrame([(0, 2, 1), (1, 1, 1), (2, 0, 0), (3, 3, 0)], "pos bigint, vseg bigint, ix bigint")
+    assert dict(segments.index_vs(bridge, xs, at).collect()) == {0: 7, 1: 7, 2: 9}
+    both = segments.nest(segments.append_vs(bridge, xs, bridge, xs))
+    assert dict(both.collect()) == {0: [9, 9], 1: [5, 7, 5, 7], 2: [5, 7, 5, 7], 3: []}
+    assert dict(segments.nest(segments.appends(xs, xs)).collect()) == {0: [5, 7], 1: [], 2: [9], 3: [5, 7], 4: [], 5: [9]}
+    tags = flat.from_list(spark, [1, 0, 0, 1, 0, 1, 1, 0])
+    merged = segments.combine2_vsegd(tags, bridge, 3, bridge)
+    assert [r.pseg for r in merged.orderBy("vseg").collect()] == [5, 2, 0, 3, 0, 3, 4, 1]
+    assert segments.get_segment(bridge, 9, "vseg").collect() == []
+
+
+def test_folds_of_empty_segments(spark):
+    xs = segments.unnest(spark.createDataFrame([(0, []), (1, [True, False])], "seg bigint, v array<boolean>"))
+    assert dict(segments.and_s(xs).collect()) == {0: True, 1: False}
+    assert dict(segments.or_s(xs).collect()) == {0: False, 1: True}
+    of = lambda c: spark.range(1).select(c).first()[0]
+    empty = F.array().cast("array<bigint>")
+    assert of(A.scan_inclusive(lambda a, x: a + x, empty)) == []
+    assert of(A.take(F.lit(-2), F.array(F.lit(1)))) == [] and of(A.take(F.lit(9), F.array(F.lit(1)))) == [1]
+    assert of(A.cross(empty, F.array(F.lit(1)))) == []
