@@ -130,6 +130,26 @@ def drop(xs: DataFrame, n: int) -> DataFrame:
     return xs.where(F.col("pos") >= n).select((F.col("pos") - n).alias("pos"), "v")
 
 
+def take_while(p: Callable[[Column], Column], xs: DataFrame) -> DataFrame:
+    """The elements before the first that fails."""
+    return _split_where(p, xs).where("_first is null or pos < _first").select("pos", "v")
+
+
+def drop_while(p: Callable[[Column], Column], xs: DataFrame) -> DataFrame:
+    """From the first element that fails on."""
+    return _split_where(p, xs).where("pos >= _first").select((F.col("pos") - F.col("_first")).alias("pos"), "v")
+
+
+def _split_where(p: Callable[[Column], Column], xs: DataFrame) -> DataFrame:
+    first = xs.where(~F.coalesce(p(F.col("v")), F.lit(False))).agg(F.min("pos").alias("_first"))
+    return xs.crossJoin(F.broadcast(first))
+
+
+def reverse(xs: DataFrame) -> DataFrame:
+    last = F.broadcast(xs.agg((F.count(F.lit(1)) - 1).alias("_last")))
+    return xs.crossJoin(last).select((F.col("_last") - F.col("pos")).alias("pos"), "v")
+
+
 def bpermute(xs: DataFrame, ix: DataFrame) -> DataFrame:
     """Gather: result[i] = xs[ix[i]]. AQE picks the side to broadcast by size."""
     return ix.select("pos", F.col("v").alias("_ix")).join(xs.select(F.col("pos").alias("_ix"), "v"), "_ix").select("pos", "v")

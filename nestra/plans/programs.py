@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import flat, segments
@@ -162,3 +162,32 @@ def ray_cast(rays: DataFrame, triangles: DataFrame) -> DataFrame:
     inside = F.expr(f"{area} <> 0 and {u} >= 0 and {v} >= 0 and {u} + {v} <= 1")
     z = F.expr(f"az + {u}*(bz-az) + {v}*(cz-az)")
     return rays.join(triangles, inside).groupBy("ray").agg(F.min_by("tri", F.struct(z, "tri")).alias("tri"))
+
+
+#: Fixed value: the constant with which the rotated tree is drawn.
+TREE_PI = 3.1415926535
+
+
+def rotation(spark: SparkSession, depth: int, time: float) -> DataFrame:
+    """(pos, x, y): four rotated trees, a node before its children.
+
+    A node of height h has h children of height h - 1. Going down, a node takes along the angle and the point of its
+    parent, and its position follows from the sizes of the subtrees before it: a level is one explode, no shuffle.
+    """
+    sizes = [1]
+    for h in range(1, depth + 1):
+        sizes.append(1 + h * sizes[-1])
+    level = spark.range(4).select((F.col("id") * sizes[depth]).alias("pos"), (F.col("id") * TREE_PI / 2).alias("phase"), *(F.lit(0.0).alias(c) for c in ("angle", "x", "y")))
+    levels = []
+    for h in range(depth, -1, -1):
+        level = level.withColumn("angle", F.col("angle") + F.col("phase") + F.lit(h / 20 * time))
+        level = level.withColumns({"x": F.col("x") - h * F.sin("angle"), "y": F.col("y") + h * F.cos("angle")})
+        levels.append(level.select("pos", "x", "y"))
+        if h:
+            child = level.withColumn("k", F.explode(F.sequence(F.lit(1), F.lit(h))))
+            at = F.col("pos") + 1 + (F.col("k") - 1) * sizes[h - 1]
+            level = child.select(at.alias("pos"), (F.col("k") / h * 2 * TREE_PI - TREE_PI).alias("phase"), "angle", "x", "y")
+    out = levels[0]
+    for nodes in levels[1:]:
+        out = out.unionByName(nodes)
+    return out

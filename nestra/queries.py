@@ -488,6 +488,36 @@ def combine_s_lengths(spark, d):
     return segments.combine_s(kinds(spark, d), dense, dense).segs
 
 
+@query(f"WITH e AS ({E_}), f AS (SELECT min(pos) AS first FROM e WHERE pos % 100 = 99 OR v IS NULL) SELECT pos, v FROM e, f WHERE pos < first")
+def take_while(spark, d):
+    xs = table(spark, d, "events").selectExpr("event_id pos", "struct(event_id, value) v")
+    return flat.take_while(lambda v: (v["event_id"] % 100 != 99) & v["value"].isNotNull(), xs).select("pos", "v.value").withColumnRenamed("value", "v")
+
+
+@query(f"WITH e AS ({C_}), f AS (SELECT min(pos) AS first FROM e WHERE v > 5000) SELECT pos - first AS pos, v FROM e, f WHERE pos >= first")
+def drop_while(spark, d):
+    return flat.drop_while(lambda v: v <= 5000, cents(spark, d))
+
+
+@query(f"WITH e AS ({C_}) SELECT (SELECT count(*) FROM e) - 1 - pos AS pos, v FROM e")
+def reverse(spark, d):
+    return flat.reverse(cents(spark, d))
+
+
+@query(
+    """WITH RECURSIVE z(h, n) AS (SELECT 0, 1 UNION ALL SELECT h + 1, 1 + (h + 1) * n FROM z WHERE h < 5),
+    t(h, pos, a, x, y) AS (
+      SELECT 5, i * (SELECT n FROM z WHERE h = 5), i * 3.1415926535e0 / 2 + 0.25e0 * 0.7e0, -5 * sin(i * 3.1415926535e0 / 2 + 0.25e0 * 0.7e0), 5 * cos(i * 3.1415926535e0 / 2 + 0.25e0 * 0.7e0) FROM range(4) r(i)
+      UNION ALL
+      SELECT c.h, c.pos, c.a, c.x - c.h * sin(c.a), c.y + c.h * cos(c.a) FROM (
+        SELECT t.h - 1 AS h, t.pos + 1 + (k - 1) * z.n AS pos, t.a + (k * 1e0 / t.h * 2 * 3.1415926535e0 - 3.1415926535e0) + (t.h - 1) / 20e0 * 0.7e0 AS a, t.x, t.y
+        FROM t, z, range(1, 6) r(k) WHERE t.h > 0 AND k <= t.h AND z.h = t.h - 1) c)
+    SELECT pos::BIGINT AS pos, round(x, 6) + 0.0e0 AS x, round(y, 6) + 0.0e0 AS y FROM t"""
+)
+def rotation(spark, d):
+    return programs.rotation(spark, 5, 0.7).select("pos", *((F.round(c, 6) + F.lit(0.0)).alias(c) for c in "xy"))
+
+
 def flags_s(spark, d) -> segments.Nested:
     xs = lines(spark, d)
     return segments.Nested(xs.segs, xs.elems.withColumn("v", F.col("v") > 25))

@@ -125,3 +125,35 @@ def test_folds_of_empty_segments(spark):
     assert of(A.scan_inclusive(lambda a, x: a + x, empty)) == []
     assert of(A.take(F.lit(-2), F.array(F.lit(1)))) == [] and of(A.take(F.lit(9), F.array(F.lit(1)))) == [1]
     assert of(A.cross(empty, F.array(F.lit(1)))) == []
+
+
+def test_rotation_recursion(spark):
+    import math
+
+    def tree(h, phase, t):
+        r = phase + h / 20 * t
+        c, s = math.cos(r), math.sin(r)
+        px, py = -h * s, h * c
+        below = [q for k in range(1, h + 1) for q in tree(h - 1, k / h * 2 * programs.TREE_PI - programs.TREE_PI, t)]
+        return [(px, py)] + [(x * c - y * s + px, x * s + y * c + py) for x, y in below]
+
+    for depth in (0, 1, 4):
+        want = [p for i in range(4) for p in tree(depth, i * programs.TREE_PI / 2, 1.3)]
+        got = programs.rotation(spark, depth, 1.3).orderBy("pos").collect()
+        assert [r.pos for r in got] == list(range(len(want)))
+        assert np.allclose([(r.x, r.y) for r in got], want)
+
+
+def test_flat_prefixes(spark):
+    xs = flat.from_list(spark, [1, 2, 9, 3])
+    assert lists(flat.take_while(lambda v: v < 5, xs)) == [1, 2] and lists(flat.drop_while(lambda v: v < 5, xs)) == [9, 3]
+    assert lists(flat.take_while(lambda v: v < 50, xs)) == [1, 2, 9, 3] and lists(flat.drop_while(lambda v: v < 50, xs)) == []
+    assert lists(flat.reverse(xs)) == [3, 9, 2, 1] and lists(flat.reverse(flat.empty(spark))) == []
+
+
+def test_written_array_reads_back(spark, tmp_path):
+    xs = flat.from_list(spark, list(range(1000, 0, -1))).repartition(5)
+    assert binary.write_array(xs, f"file://{tmp_path}/w") == 1000
+    assert [r["v"] for r in binary.read_array(spark, f"file://{tmp_path}/w").orderBy("pos").collect()] == list(range(1000, 0, -1))
+    assert binary.write_array(flat.empty(spark), f"file://{tmp_path}/e") == 0
+    assert binary.read_array(spark, f"file://{tmp_path}/e").count() == 0
