@@ -157,3 +157,11 @@ def test_written_array_reads_back(spark, tmp_path):
     assert [r["v"] for r in binary.read_array(spark, f"file://{tmp_path}/w").orderBy("pos").collect()] == list(range(1000, 0, -1))
     assert binary.write_array(flat.empty(spark), f"file://{tmp_path}/e") == 0
     assert binary.read_array(spark, f"file://{tmp_path}/e").count() == 0
+
+
+def test_graph_files(spark, tmp_path):
+    edges = [(0, 1), (1, 2), (4, 3), (0, 1)]
+    assert binary.write_graph(spark.createDataFrame(edges, "src bigint, dst bigint"), 6, f"file://{tmp_path}/g") == 4
+    assert (tmp_path / "g").read_bytes()[:24] == np.array([6, 4, 4]).tobytes()
+    counts, read = binary.read_graph(spark, f"file://{tmp_path}/g")
+    assert tuple(counts.first()) == (6, 4) and sorted(map(tuple, read.collect())) == sorted(edges)
