@@ -91,12 +91,56 @@ def median(xs: DataFrame) -> DataFrame:
     return sort_array(xs).join(F.broadcast(n), F.col("pos") == F.col("_h")).select("v")
 
 
-def nearest(points: DataFrame, cell: str = "cell") -> DataFrame:
-    """(cell, id, x, y): for each point the nearest other one of its cell, the smallest id of equals."""
-    other = points.select(F.col(cell).alias("_c"), F.col("id").alias("_id"), F.col("x").alias("_x"), F.col("y").alias("_y"))
-    pairs = points.join(other, (F.col(cell) == F.col("_c")) & (F.col("id") != F.col("_id")))
-    d2 = (F.col("x") - F.col("_x")) ** 2 + (F.col("y") - F.col("_y")) ** 2
-    return pairs.groupBy(cell, "id").agg(F.min_by("_id", F.struct(d2, "_id")).alias("near"))
+#: Segments of at most FEW different places are searched directly; in others a square of the grid should hold about FULL.
+FEW, FULL, FINEST = 128, 16, 20
+
+
+def nearest(points: DataFrame, cell: str = "cell", few: int = FEW) -> DataFrame:
+    """(cell, id, x, y): for each point the nearest one elsewhere in its cell, the smallest id of equals.
+
+    Points at the same place do not count as near; if all are at one place, its smallest id is returned. Places are
+    told apart first, so copies cost nothing. A segment of many places is searched on a grid: a place looks into the
+    nine squares around it and is settled if its nearest is within a square's side; the rest looks again on squares
+    twice as wide.
+    """
+    key, few = ["_c", "_x", "_y"], max(few, 1)
+    spots = _stored(points.groupBy(F.col(cell).alias("_c"), F.col("x").alias("_x"), F.col("y").alias("_y")).agg(F.min("id").alias("_id")))
+    extent = F.greatest(F.max("_x") - F.min("_x"), F.max("_y") - F.min("_y"))
+    boxes = _stored(spots.groupBy("_c").agg(F.count(F.lit(1)).alias("_n"), F.min("_x").alias("_x0"), F.min("_y").alias("_y0"), extent.alias("_e")))
+    found = _closest(spots.join(boxes.where(F.col("_n") <= few).select("_c"), "_c", "left_semi"), spots, ["_c"]).select(*key, "_near._near")
+    most = boxes.agg(F.max("_n")).first()[0] or 0
+    if most > few:
+        scaled = spots.join(boxes.where(F.col("_n") > few), "_c")
+        scaled = _stored(scaled.select(*key, "_id", "_e", ((F.col("_x") - F.col("_x0")) / F.col("_e")).alias("_u"), ((F.col("_y") - F.col("_y0")) / F.col("_e")).alias("_w")))
+        squares = lambda k: (F.least(F.floor(F.col(c) * k), F.lit(k - 1)).alias(g) for c, g in (("_u", "_gx"), ("_w", "_gy")))
+        level = min(FINEST, max(0, (most // FULL).bit_length() // 2))
+        while level < FINEST and scaled.select("_c", *squares(1 << level)).groupBy("_c", "_gx", "_gy").count().agg(F.max("count")).first()[0] > FULL:
+            level += 1
+        left = scaled
+        for j in range(level, -1, -1):
+            near = F.array(*(F.lit(i) for i in (-1, 0, 1)))
+            around = left.select(*key, "_e", *squares(1 << j)).withColumn("_i", F.explode(near)).withColumn("_j", F.explode(near))
+            around = around.select(*key, "_e", (F.col("_gx") + F.col("_i")).alias("_gx"), (F.col("_gy") + F.col("_j")).alias("_gy"))
+            best = _closest(around, scaled.select(*key, "_id", *squares(1 << j)), ["_c", "_gx", "_gy"], "_e")
+            # the margin covers the rounding of the squares' borders
+            best = _stored(best.where(F.lit(j == 0) | (F.col("_near._d") < F.pow(F.col("_e") / (1 << j), F.lit(2.0)) * (1 - 1e-8))).select(*key, "_near._near"))
+            found = found.unionByName(best)
+            if not j:
+                break
+            left = _stored(left.join(best, key, "left_anti"))
+            if not left.limit(1).count():
+                break
+    named = spots.join(found, key, "left").select(*key, F.coalesce("_near", "_id").alias("near"))
+    same = (F.col(cell) == F.col("_c")) & (F.col("x") == F.col("_x")) & (F.col("y") == F.col("_y"))
+    return points.join(named, same).select(cell, "id", "near")
+
+
+def _closest(places: DataFrame, others: DataFrame, on: list[str], *carried: str) -> DataFrame:
+    """For each place the least (_d, _near) of other places that agree in ``on``."""
+    others = others.select(*on, F.col("_x").alias("_ox"), F.col("_y").alias("_oy"), F.col("_id").alias("_near"))
+    pairs = places.join(others, on).where("_x <> _ox or _y <> _oy")
+    d2 = (F.col("_x") - F.col("_ox")) ** 2 + (F.col("_y") - F.col("_oy")) ** 2
+    return pairs.groupBy("_c", "_x", "_y", *carried).agg(F.min(F.struct(d2.alias("_d"), "_near")).alias("_near"))
 
 
 def gravity(bodies: DataFrame, cell: str = "cell", softening: float = 1.0) -> DataFrame:

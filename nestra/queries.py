@@ -742,17 +742,14 @@ def points(spark, d) -> DataFrame:
 
 
 @query(
-    f"""WITH p AS ({_POINTS}) SELECT a.cell, a.id, arg_min(b.id, (a.x - b.x) ** 2 + (a.y - b.y) ** 2) AS near
-    FROM p a JOIN (SELECT * FROM p ORDER BY id) b ON a.cell = b.cell AND a.id <> b.id GROUP BY ALL"""
+    f"""WITH p AS ({_POINTS}), q AS (SELECT a.id, b.id AS near, row_number() OVER (PARTITION BY a.id ORDER BY (a.x - b.x) ** 2 + (a.y - b.y) ** 2, b.id) AS r
+    FROM p a JOIN p b ON a.cell = b.cell AND (a.x <> b.x OR a.y <> b.y))
+    SELECT p.cell, p.id, coalesce(near, min(p.id) OVER (PARTITION BY p.cell)) AS near FROM p LEFT JOIN q ON q.id = p.id AND r = 1"""
 )
 def closest_pairs(spark, d):
     return programs.nearest(points(spark, d))
 
 
-ORACLE["closest_pairs"] = f"""WITH p AS ({_POINTS}), q AS (SELECT a.cell, a.id, b.id AS near, row_number() OVER (PARTITION BY a.id ORDER BY (a.x - b.x) ** 2 + (a.y - b.y) ** 2, b.id) AS r
-FROM p a JOIN p b ON a.cell = b.cell AND a.id <> b.id) SELECT cell, id, near FROM q WHERE r = 1"""
-
-
 @query(
     f"""WITH p AS ({_POINTS}) SELECT a.cell, a.id, round(sum((b.x - a.x) / pow((b.x - a.x) ** 2 + (b.y - a.y) ** 2 + 1, 1.5)), 6) AS ax,
     round(sum((b.y - a.y) / pow((b.x - a.x) ** 2 + (b.y - a.y) ** 2 + 1, 1.5)), 6) AS ay FROM p a JOIN p b ON a.cell = b.cell AND a.id <> b.id GROUP BY ALL"""

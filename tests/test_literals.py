@@ -165,3 +165,17 @@ def test_graph_files(spark, tmp_path):
     assert (tmp_path / "g").read_bytes()[:24] == np.array([6, 4, 4]).tobytes()
     counts, read = binary.read_graph(spark, f"file://{tmp_path}/g")
     assert tuple(counts.first()) == (6, 4) and sorted(map(tuple, read.collect())) == sorted(edges)
+
+
+@pytest.mark.parametrize("few", [0, 1000])
+def test_nearest_places(spark, few):
+    rng = np.random.default_rng(3)
+    rows = [(0, i, float(x), float(y)) for i, (x, y) in enumerate(rng.normal(0, 1, (250, 2)) ** 3)]
+    rows += [(0, 300 + i, 1000.0, float(i // 2)) for i in range(8)] + [(1, 400 + i, float(i % 12), float(i // 12)) for i in range(144)]
+    rows += [(2, 600, 1.0, 1.0), (2, 601, 1.0, 1.0), (3, 700, 5.0, 5.0)]
+    want = {}
+    for c, i, x, y in rows:
+        far = [((x - u) ** 2 + (y - w) ** 2, k) for d, k, u, w in rows if d == c and (u, w) != (x, y)]
+        want[i] = min(far)[1] if far else min(k for d, k, _, _ in rows if d == c)
+    got = programs.nearest(spark.createDataFrame(rows, "cell bigint, id bigint, x double, y double"), few=few)
+    assert {r.id: r.near for r in got.collect()} == want
