@@ -38,7 +38,7 @@ _CAPITAL = r"\p{Lu}[\p{L}'’-]*\p{Ll}"
 PATTERNS = {
     "email": r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++@(?:[A-Za-z0-9](?:[A-Za-z0-9-]{0,61}[A-Za-z0-9])?\.)+[A-Za-z]{2,24}(?![A-Za-z0-9-])",
     "ip": r"(?<![0-9.A-Za-z])(?:(?:25[0-5]|2[0-4][0-9]|1[0-9]{2}|[1-9]?[0-9])\.){3}(?:25[0-5]|2[0-4][0-9]|1[0-9]{2}|[1-9]?[0-9])(?![0-9A-Za-z]|\.[0-9])",
-    "secret": r"(?<![A-Za-z0-9])(?:[0-9a-f]{32,128}|[0-9A-F]{32,128}|AKIA[0-9A-Z]{16}|gh[pousr]_[A-Za-z0-9]{36}|(?:sk|pk|rk)_(?:live|test)_[A-Za-z0-9]{16,64}|xox[abprs]-[A-Za-z0-9-]{10,64})(?![A-Za-z0-9])",
+    "secret": r"(?<![A-Za-z0-9])(?:[0-9a-f]{32,}+|[0-9A-F]{32,}+|AKIA[0-9A-Z]{16}|gh[pousr]_[A-Za-z0-9]{36}|(?:sk|pk|rk)_(?:live|test)_[A-Za-z0-9]{16,}+|xox[abprs]-[A-Za-z0-9-]{10,}+)(?![A-Za-z0-9])",
     "iban": r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])",
     "ssn": r"(?<![0-9A-Za-z-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9A-Za-z-])",
     "card": r"(?<![0-9A-Za-z+.-])(?:[0-9]{13,19}|[0-9]{4}(?:[ -][0-9]{4}){3}|[0-9]{4}[ -][0-9]{6}[ -][0-9]{5})(?![0-9A-Za-z]|[.-][0-9])",
@@ -46,8 +46,12 @@ PATTERNS = {
     "name": rf"(?<![\p{{L}}\p{{N}}])(?:{_ALL_TITLES})\.? {_CAPITAL}(?: {_CAPITAL})?(?!\p{{L}})",
 }
 ANY = "|".join(f"(?:{p})" for p in PATTERNS.values())
-#: What any entity has: an at sign, two digits near one another, a long hexadecimal run or a title.
-_HINT = rf"@|[0-9][^\p{{L}}]{{0,3}}[0-9]|[0-9a-fA-F]{{32}}|AKIA|gh[pousr]_|xox[abprs]-|(?:{_ALL_TITLES})\.? \p{{Lu}}"
+#: What any entity has: an at sign, two digits near one another, a long hexadecimal run, a secret's prefix or a title.
+#: Every text that ANY finds something in must match, whatever the type.
+_HINT = rf"@|[0-9][^\p{{L}}]{{0,3}}[0-9]|[0-9a-fA-F]{{32}}|AKIA|gh[pousr]_|[spr]k_(?:live|test)_|xox[abprs]-|(?:{_ALL_TITLES})\.? \p{{Lu}}"
+
+# Country codes of one and of two digits; all others have three. None is the start of another.
+_COUNTRY = r"^(?:[17]|2[07]|3[0-469]|4[013-9]|5[1-8]|6[0-6]|8[1246]|9[0-58]|[0-9]{1,3})"
 
 # Syllables of made-up names by script, and endings by gender.
 _SYLLABLES = {
@@ -73,12 +77,13 @@ def kind(entity: Column) -> Column:
 
 
 def canonical(kind: Column, entity: Column) -> Column:
-    """What makes two mentions one entity: lower case for addresses, the bare characters for numbers, and the
-    family name (the last word) for names."""
+    """What makes two mentions one entity: lower case for addresses, the bare characters for numbers (with the
+    plus sign of an international telephone number), and the family name (the last word) for names."""
     return (
         F.when(kind.isin("email"), F.lower(entity))
         .when(kind == "name", F.regexp_extract(entity, r"([^ ]+)$", 1))
-        .when(kind.isin("card", "phone", "ssn"), F.regexp_replace(entity, "[^0-9]", ""))
+        .when(kind == "phone", F.regexp_replace(entity, r"(?!^\+)[^0-9]", ""))
+        .when(kind.isin("card", "ssn"), F.regexp_replace(entity, "[^0-9]", ""))
         .when(kind == "iban", F.replace(entity, F.lit(" "), F.lit("")))
         .otherwise(entity)
     )
@@ -155,8 +160,9 @@ def _made(entity: Column, k: Column, attempt: Column, stream: Column, key: str)
     ip = F.concat_ws(".", *((_drawn(stream, F.lit(i), 254) + 1).cast("string") for i in range(4)))
     secret = _like(entity, stream, F.length(F.regexp_extract(F.regexp_replace(entity, "[^A-Za-z0-9]", ""), "^(AKIA|gh[pousr]|[spr]k(?:live|test)|xox[abprs])", 1)), entity.rlike("^(?:[0-9a-f]+|[0-9A-F]+)$"))
     card = _checked(entity, _like(entity, stream, F.lit(0)))
-    country = F.length(F.regexp_extract(entity, r"^\+([0-9]+)", 1))
-    phone = _like(entity, stream, F.when(entity.startswith("+"), F.least(country, F.lit(3))).otherwise(0))
+    # of the digits alone, as their grouping differs between mentions
+    country = F.length(F.regexp_extract(F.regexp_replace(entity, "[^0-9]", ""), _COUNTRY, 0))
+    phone = _like(entity, stream, F.when(entity.startswith("+"), country).otherwise(0))
     title, words = F.regexp_extract(entity, r"^([^ ]+)", 1), F.split(entity, " ")
     bare = F.replace(title, F.lit("."), F.lit(""))
     gender = F.when(bare.rlike(f"^(?:{_TITLES['f']})$"), "f").when(bare.rlike(f"^(?:{_TITLES['m']})$"), "m").otherwise("n")
