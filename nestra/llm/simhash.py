@@ -174,35 +174,40 @@ def near_duplicates(documents: DataFrame, k: int = BITS) -> DataFrame:
 
 
 def _named(marked: DataFrame, k: int) -> DataFrame:
-    """(doc_id, fp) to (fp, component_id), a row per different fingerprint."""
+    """(doc_id, fp) to (fp, root, component_id), a row per different fingerprint. ``root`` is a fingerprint of the
+    component, the same for all of it; the smallest doc_id may be in several components, or null."""
     classes = stored(marked.groupBy("fp").agg(F.min("doc_id").alias("first_id")))
     rooted = components(links(classes.select("fp"), k)).withColumnRenamed("node", "fp")
     # only fingerprints with links need the second look
     linked = stored(rooted.join(classes, "fp"))
     lowest = linked.groupBy("root").agg(F.min("first_id").alias("lowest"))
-    better = linked.select("fp", "root").join(lowest, "root").select("fp", "lowest")
-    return classes.join(small(stored(better)), "fp", "left").select("fp", F.coalesce("lowest", "first_id").alias("component_id"))
+    better = linked.select("fp", "root").join(lowest, "root").select("fp", "root", "lowest")
+    return classes.join(small(stored(better)), "fp", "left").select("fp", F.coalesce("root", "fp").alias("root"), F.coalesce("lowest", "first_id").alias("component_id"))
 
 
 def deduplicate(documents: DataFrame, k: int = BITS) -> DataFrame:
     """``documents`` with one row of each component: its smallest doc_id. All columns are kept as they are.
 
     What is dropped is looked up, not what stays: the table of dropped (doc_id, fp) is broadcast if it is small.
-    Rows that agree in doc_id and fingerprint are repeats of one document; one of them stays.
+    Rows that agree in doc_id and fingerprint are repeats of one document; one of them stays. Rows of one doc_id
+    (or of none) in different components are different documents and all stay.
     """
     marked = stored(fingerprints(documents, "doc_id"))
     named = stored(marked.join(_named(marked, k), "fp"))
-    gone = named.where(~F.col("doc_id").eqNullSafe(F.col("component_id"))).select("doc_id", "fp").distinct()
-    again = named.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).groupBy("component_id").agg(F.count(F.lit(1)).alias("n"), F.min("fp").alias("fp")).where("n > 1").select(F.col("component_id").alias("doc_id"), "fp")
+    first = F.col("doc_id").eqNullSafe(F.col("component_id"))
+    heads = stored(named.where(first).groupBy("doc_id", "fp", "root").agg(F.count(F.lit(1)).alias("n")))
+    # the smallest doc_id of a component may have several fingerprints in it: the smallest of these stays
+    several = heads.groupBy("root").agg(F.min("fp").alias("stays"), F.count(F.lit(1)).alias("fps")).where("fps > 1").select("root", "stays")
+    surplus = heads.join(small(stored(several)), "root").where("fp <> stays").select("doc_id", "fp")
+    gone = small(stored(named.where(~first).select("doc_id", "fp").union(surplus).distinct()).toDF("__id", "__fp"))
     full = fingerprints(documents, *documents.columns, name="__full")
-    gone = small(stored(gone).toDF("__id", "__fp"))
     match = full["doc_id"].eqNullSafe(gone["__id"]) & (full["__full"] == gone["__fp"])
     kept = full.join(gone, match, "left_anti")
-    again = stored(again)
+    again = stored(heads.where("n > 1").select("doc_id", "fp"))
     if not again.limit(1).count():
         return kept.drop("__full")
     twice = small(again.toDF("__id", "__fp"))
-    same = kept["doc_id"].eqNullSafe(twice["__id"])
+    same = kept["doc_id"].eqNullSafe(twice["__id"]) & (kept["__full"] == twice["__fp"])
     once = kept.join(twice, same, "left_anti")
-    repeated = kept.join(twice, same & (kept["__full"] == twice["__fp"]), "left_semi").dropDuplicates(["doc_id"])
+    repeated = kept.join(twice, same, "left_semi").dropDuplicates(["doc_id", "__full"])
     return once.unionByName(repeated).drop("__full")
