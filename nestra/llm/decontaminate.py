@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import WORD_TABLE, utf8, words
+from .common import WORD_TABLE, stored, utf8, words
 
 WINDOW = 10
 #: Bytes of item text in one automaton; a larger benchmark is searched in several blocks.
@@ -263,42 +263,103 @@ def scrub(
     """``documents`` without benchmark passages; all columns stay and ``n_chars``, if there, follows the text.
 
     Spans of at least ``min_span`` hit words are cut out, again and again until none is left, as a cut can join
-    two halves of a window. A document of which more than ``max_coverage`` of the words were hit is dropped.
+    two halves of a window; the blocks of a larger benchmark are searched in the same text before each cut. A document of which more than ``max_coverage`` of the words were hit is dropped.
     Documents without a hit pass unchanged, null texts included.
     """
-    spark = documents.sparkSession
+    blocks = item_blocks(benchmark, block_bytes)
+    if len(blocks) > 1:
+        return _scrub_blocks(documents, blocks, window, min_span, max_coverage)
+    shared = documents.sparkSession.sparkContext.broadcast(_Scanner(blocks[0], window))
     at = documents.columns.index("text")
-    n_chars = documents.columns.index("n_chars") if "n_chars" in documents.columns else None
-    out = documents
-    for block in item_blocks(benchmark, block_bytes):
-        shared = spark.sparkContext.broadcast(_Scanner(block, window))
 
-        def run(batches, shared=shared):
+    def run(batches):
+        automaton = shared.value.automaton()
+        for batch in batches:
+            texts = utf8(batch.column(at))
+            yield _with_texts(batch, texts, [cut(raw, automaton, min_span, max_coverage) if raw else raw for raw in texts])
+
+    return documents.mapInArrow(run, documents.schema)
+
+
+_STATE = [T.StructField("__spans", T.ArrayType(T.LongType())), T.StructField("__total", T.LongType()), T.StructField("__hit", T.LongType()), T.StructField("__cut", T.BooleanType())]
+
+
+def _scrub_blocks(documents: DataFrame, blocks: list[list[tuple[object, bytes]]], window: int, min_span: int, max_coverage: float) -> DataFrame:
+    """:func:`scrub` with the items in several blocks. A round collects the spans of all blocks in one text before
+    anything is cut; rows that were cut go into another round, until no block finds a hit in them."""
+    spark = documents.sparkSession
+    names = [*documents.columns, *(f.name for f in _STATE)]
+    schema = T.StructType([*documents.schema, *_STATE])
+    at, spans_at = documents.columns.index("text"), len(documents.columns)
+
+    def find(shared):
+        def run(batches):
             automaton = shared.value.automaton()
             for batch in batches:
-                keep, texts, changed = [], [], False
-                for i, raw in enumerate(utf8(batch.column(at))):
-                    text = cut(raw, automaton, min_span, max_coverage) if raw else raw
-                    if text is None and raw is not None:
-                        continue
-                    changed |= text is not raw
-                    keep.append(i)
-                    texts.append(text)
-                if len(keep) < batch.num_rows:
-                    batch = batch.take(pa.array(keep, pa.int64()))
-                if changed:
-                    decoded = [None if t is None else t.decode() for t in texts]
-                    batch = batch.set_column(at, batch.schema.field(at), pa.array(decoded, batch.schema.field(at).type))
-                    if n_chars is not None:
-                        old = batch.column(n_chars).to_pylist()
-                        new = [o if t is None or o is None else len(t) for o, t in zip(old, decoded)]
-                        batch = batch.set_column(n_chars, batch.schema.field(n_chars), pa.array(new, batch.schema.field(n_chars).type))
-                yield batch
-
-        out = out.mapInArrow(run, documents.schema)
+                held = batch.column(spans_at)
+                found = [[*old, *(p for s in automaton.scan(words(raw))[0] for p in s)] if raw else old for old, raw in zip(held.to_pylist(), utf8(batch.column(at)))]
+                yield batch.set_column(spans_at, names[spans_at], pa.array(found, held.type))
+
+        return run
+
+    def apply(batches):
+        for batch in batches:
+            old, new, totals, hits, moved = utf8(batch.column(at)), [], [], [], []
+            for raw, flat, total, hit in zip(old, *(batch.column(spans_at + i).to_pylist() for i in range(3))):
+                spans = [s for s in _union(zip(flat[::2], flat[1::2])) if s[1] - s[0] >= min_span]
+                if spans:
+                    total = total or len(words(raw))
+                    hit += sum(b - a for a, b in spans)
+                new.append(raw if not spans else None if hit > max_coverage * total else _without(raw, spans))
+                totals.append(total)
+                hits.append(hit)
+                moved.append(bool(spans))
+            state = [[[]] * len(new), totals, hits, moved]
+            for i, values in enumerate(state, spans_at):
+                batch = batch.set_column(i, names[i], pa.array(values, batch.column(i).type))
+            yield _with_texts(batch, old, new)
+
+    live = documents.selectExpr("*", "cast(array() as array<bigint>) __spans", "0L __total", "0L __hit", "false __cut")
+    shared = [spark.sparkContext.broadcast(_Scanner(block, window)) for block in blocks]
+    done = None
+    while True:
+        for of in shared:
+            live = live.mapInArrow(find(of), schema)
+        after = stored(live.mapInArrow(apply, schema))
+        rest = after.where("not __cut").select(*documents.columns)
+        done = rest if done is None else done.union(rest)
+        live = after.where("__cut")
+        if not live.limit(1).count():
+            return done
+
+
+def _union(spans: Iterable[tuple[int, int]]) -> list[tuple[int, int]]:
+    """Overlapping and touching spans joined, as :meth:`SuffixAutomaton.scan` joins them."""
+    out: list[tuple[int, int]] = []
+    for start, end in sorted(spans):
+        if out and out[-1][1] >= start:
+            out[-1] = (out[-1][0], max(out[-1][1], end))
+        else:
+            out.append((start, end))
     return out
 
 
+def _with_texts(batch: pa.RecordBatch, old: list[bytes | None], new: list[bytes | None]) -> pa.RecordBatch:
+    """``batch`` with the new texts; rows whose text became None are left out. ``n_chars`` follows a changed text."""
+    keep = [i for i, (o, t) in enumerate(zip(old, new)) if o is None or t is not None]
+    changed = any(new[i] is not old[i] for i in keep)
+    if len(keep) < batch.num_rows:
+        batch = batch.take(pa.array(keep, pa.int64()))
+    if changed:
+        decoded = [None if new[i] is None else new[i].decode() for i in keep]
+        at = batch.schema.get_field_index("text")
+        batch = batch.set_column(at, batch.schema.field(at), pa.array(decoded, batch.schema.field(at).type))
+        if (at := batch.schema.get_field_index("n_chars")) >= 0:
+            sizes = [o if t is None or o is None else len(t) for o, t in zip(batch.column(at).to_pylist(), decoded)]
+            batch = batch.set_column(at, batch.schema.field(at), pa.array(sizes, batch.schema.field(at).type))
+    return batch
+
+
 def cut(raw: bytes, automaton: SuffixAutomaton, min_span: int, max_coverage: float) -> bytes | None:
     """``raw`` without hit spans (the same object if there is none); None if too much of it was hit."""
     total = hit = 0
@@ -311,12 +372,16 @@ def cut(raw: bytes, automaton: SuffixAutomaton, min_span: int, max_coverage: flo
         hit += sum(b - a for a, b in spans)
         if hit > max_coverage * total:
             return None
-        where = [m.span() for m in re.finditer(rb"[^ ]+", raw.translate(WORD_TABLE))]
-        kept, begin = [], 0
-        for a, b in spans:
-            kept.append(raw[begin : where[a][0]])
-            begin = where[b - 1][1]
-        raw = b"".join([*kept, raw[begin:]])
+        raw = _without(raw, spans)
+
+
+def _without(raw: bytes, spans: list[tuple[int, int]]) -> bytes:
+    where = [m.span() for m in re.finditer(rb"[^ ]+", raw.translate(WORD_TABLE))]
+    kept, begin = [], 0
+    for a, b in spans:
+        kept.append(raw[begin : where[a][0]])
+        begin = where[b - 1][1]
+    return b"".join([*kept, raw[begin:]])
 
 
 def digest_of(n_words: int, spans: list[tuple[int, int]], items: Iterable[str]) -> tuple:
