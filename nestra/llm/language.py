@@ -3,7 +3,8 @@
     posterior(l) ~ text likelihood(l)^T * P(declared | l) * P(address suffix | l) * P(l | host)
 
 * The text model counts byte trigrams of letters, hashed to ``BUCKETS``, on at most about ``SAMPLE`` labelled
-  documents a language (a seeded hash of the doc_id picks them); whole texts are counted. One more class, "und",
+  documents a language (a seeded hash of the doc_id picks them; a language with fewer is learned from all of
+  them, were it one); whole texts are counted. One more class, "und",
   gives every trigram the same chance and takes what no language explains.
 * P(declared | l) and P(suffix | l) are counted over all documents by the language that the text alone suggests,
   with a belief that declarations mostly hold and that a country's suffix mostly speaks its language.
@@ -32,8 +33,8 @@ from pyspark.sql import types as T
 from .common import WORD_TABLE, small, stored, utf8
 
 BUCKETS = 1 << 16
-#: Labelled documents a language that fit the text model, about; languages rarer than RARE documents are not learned.
-SAMPLE, RARE = 400, 5
+#: Labelled documents a language that fit the text model, about; of a language with fewer, all.
+SAMPLE = 400
 #: Trigrams overlap: a third of their log-likelihood counts, and at most that of MOST of them.
 TEMPER, MOST = 1 / 3, 300
 UNKNOWN = "und"
@@ -79,11 +80,11 @@ class TextModel:
 def fit(documents: DataFrame, declared: str = "lang", sample: int = SAMPLE) -> TextModel:
     """The text model of the languages declared. ``documents`` has doc_id, text and ``declared``."""
     label = F.lower(F.trim(F.col(declared)))
-    sizes = {r["l"]: r["n"] for r in documents.groupBy(label.alias("l")).agg(F.count(F.lit(1)).alias("n")).where(f"l is not null and l not in ('', '{UNKNOWN}') and n >= {RARE}").collect()}
-    languages = sorted(sizes) or sorted(r["l"] for r in documents.select(label.alias("l")).where(f"l is not null and l not in ('', '{UNKNOWN}')").distinct().limit(64).collect())
+    sizes = {r["l"]: r["n"] for r in documents.groupBy(label.alias("l")).agg(F.count(F.lit(1)).alias("n")).where(f"l is not null and l not in ('', '{UNKNOWN}')").collect()}
+    languages = sorted(sizes)
     if not languages:
         return TextModel([], np.zeros((BUCKETS, 0)))
-    share = F.coalesce(F.element_at(F.create_map(*(F.lit(x) for k in languages for x in (k, min(1.0, sample / max(1, sizes.get(k, 1)))))), label), F.lit(0.0))
+    share = F.coalesce(F.element_at(F.create_map(*(F.lit(x) for k in languages for x in (k, min(1.0, sample / sizes[k])))), label), F.lit(0.0))
     picked = (F.pmod(F.xxhash64(F.lit("language"), "doc_id"), F.lit(1 << 20)) / (1 << 20)) < share
     number = {k: i for i, k in enumerate(languages)}
     schema = T.StructType([T.StructField("l", T.IntegerType()), T.StructField("b", T.IntegerType()), T.StructField("n", T.LongType())])
