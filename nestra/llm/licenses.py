@@ -49,7 +49,7 @@ PHRASES = {
     "creative commons attribution noncommercial": "cc-by-nc",
     "creative commons attribution sharealike": "cc-by-sa",
 }
-# Passages of licence texts, each with the phrases that must be in it.
+# Passages of licence texts, a line each where others stand between, with the phrases that must be there.
 TEXTS = {
     "mit": (
         "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files the software to deal in the software "
@@ -57,7 +57,7 @@ TEXTS = {
         ("free of charge to any person obtaining a copy of this software",),
     ),
     "bsd-3-clause": (
-        "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met "
+        "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met\n"
         "neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission",
         ("redistribution and use in source and binary forms", "endorse or promote products derived from this software"),
     ),
@@ -88,6 +88,7 @@ class Template:
             self.places.setdefault(w, []).append(i)
         self.needs = frozenset(self.words)
         self.mandatory = [Template(label, m) for m in mandatory]
+        self.passages = [self] if whole or "\n" not in text else [Template(label, p, whole=False) for p in text.split("\n")]
 
 
 class Index:
@@ -136,7 +137,8 @@ class Index:
                         starts += found
                         base.add(t.label)
             elif all(m.needs <= present and self._phrase(m, seq, places) for m in t.mandatory):
-                covered = self._cover(t, seq, present, places)
+                # each passage has a stretch of its own; all of the words of the text count together
+                covered = sum(self._cover(p, seq, present, places) * len(p.words) for p in t.passages) / len(t.words)
                 if covered >= COVERAGE:
                     labels.add(t.label)
                     score = max(score, covered)
