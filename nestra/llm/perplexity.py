@@ -15,8 +15,8 @@ each language has a model of its own. An n-gram packs into one integer with its
 
 Cases: null and empty texts have no symbols, a null perplexity and are kept (there is nothing against them). A
 null language is a language. Documents of a language without trusted text have a null perplexity and are kept.
-Repeated rows count as often as they stand; a document with several labels is trusted if one says so. Extra
-columns are ignored; empty tables give empty results.
+Repeated rows count as often as they stand; a document with several labels is trusted if one says so and none says
+that it is toxic. Extra columns are ignored; empty tables give empty results.
 """
 
 from __future__ import annotations
@@ -219,9 +219,16 @@ def _mark(text: Column) -> Column:
     return F.xxhash64(text)
 
 
+def trusted_documents(labels: DataFrame) -> DataFrame:
+    """Distinct doc_ids with a label of quality 1 and none that says toxic (a column that may be missing)."""
+    toxic = F.max(F.coalesce(F.col("toxic") == 1, F.lit(False))) if "toxic" in labels.columns else F.lit(False)
+    said = labels.where("doc_id is not null").groupBy("doc_id").agg(F.max(F.coalesce(F.col("quality") == 1, F.lit(False))).alias("good"), toxic.alias("bad"))
+    return said.where("good and not bad").select("doc_id")
+
+
 def score(documents: DataFrame, labels: DataFrame, entries: int = SHARD_ENTRIES) -> DataFrame:
     """Per document: doc_id, lang ('' if null), symbols, perplexity, trusted."""
-    trusted_ids = small(stored(labels.where("quality = 1 and doc_id is not null").select("doc_id").distinct()))
+    trusted_ids = small(stored(trusted_documents(labels)))
     docs = documents.select("doc_id", _mark(F.col("text")).alias("mark"), F.coalesce("lang", F.lit("")).alias("lang"), "text")
     trusted = documents.select("doc_id", "lang", "text").join(trusted_ids, "doc_id", "left_semi")
     names = [r[0] for r in trusted.select(F.coalesce("lang", F.lit(""))).distinct().collect()]
