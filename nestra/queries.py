@@ -667,6 +667,54 @@ def array_cross_map(spark, d):
     return vectors(spark, d).select("vec_id", F.explode(pairs).alias("p")).select("vec_id", F.col("p._1").alias("x"), F.col("p._2").alias("y"))
 
 
+# --- the same on whole vectors; these have no SQL and are tested against plain Python
+
+def _half() -> Column:
+    return F.floor(F.size("e") / 2).cast("int")
+
+
+def on_whole_vectors(name: str, f: Callable[[Column, Column, Column], Column]) -> None:
+    """``f`` gets the vector and its two halves."""
+
+    def run(spark, d):
+        v = vectors(spark, d).select("vec_id", "e", F.slice("e", F.lit(1), _half()).alias("a"), F.slice("e", _half() + 1, F.size("e")).alias("b"))
+        return v.select("vec_id", f(F.col("e"), F.col("a"), F.col("b")).alias("v"))
+
+    run.__name__ = name
+    query()(run)
+
+
+_THIRD = lambda x, i: i % 3 == 0
+
+on_whole_vectors("array_append_whole", lambda e, a, b: A.append(e, b))
+on_whole_vectors("array_zip_with_whole", lambda e, a, b: A.zip_with(lambda x, y: x * y, e, A.reverse(e)))
+on_whole_vectors("array_interleave_whole", lambda e, a, b: A.interleave(a, b))
+on_whole_vectors("array_bpermute_whole", lambda e, a, b: A.bpermute(e, F.transform(e, lambda x, i: (i * 7 + 3) % F.size(e))))
+on_whole_vectors("array_update_whole", lambda e, a, b: A.update(e, F.transform(e, lambda x, i: F.struct((i - i % 2).alias("ix"), (x + 1).alias("v")))))
+on_whole_vectors("array_concat_whole", lambda e, a, b: A.concat(F.array(b, a, e)))
+on_whole_vectors("array_combine_whole", lambda e, a, b: A.combine(F.transform(e, lambda x, i: i % 2 == 0), a, b))
+on_whole_vectors("array_scan_whole", lambda e, a, b: A.scan(lambda s, x: s + x, F.lit(0.0), e))
+on_whole_vectors("array_scan_inclusive_whole", lambda e, a, b: A.scan_inclusive(lambda s, x: s + x, e))
+on_whole_vectors("array_fold_right_whole", lambda e, a, b: A.fold_right(lambda x, s: x - s, F.lit(1.0), e))
+on_whole_vectors("array_fold1_whole", lambda e, a, b: A.fold1(lambda s, x: F.greatest(s, x), e))
+on_whole_vectors("array_cross_whole", lambda e, a, b: A.map_array(lambda p: p["a"] - p["b"], A.cross(a, b)))
+on_whole_vectors("array_concat_map_whole", lambda e, a, b: A.concat_map(lambda x: F.array(x, x), e))
+on_whole_vectors("array_pack_whole", lambda e, a, b: A.pack(e, F.transform(e, _THIRD)))
+on_whole_vectors("array_lookup_whole", lambda e, a, b: A.lookup(F.col("vec_id") % 64, F.transform(e, lambda x, i: F.struct(i.cast("long").alias("k"), x.alias("v")))))
+
+
+@query()
+def array_cross_map_whole(spark, d):
+    pairs = A.cross_map(F.slice("e", F.lit(1), _half()), lambda _: F.slice("e", _half() + 1, F.size("e")))
+    return vectors(spark, d).select("vec_id", F.explode(pairs).alias("p")).select("vec_id", F.col("p._1").alias("x"), F.col("p._2").alias("y"))
+
+
+@query()
+def appends_whole(spark, d):
+    xs = segments.unnest(vectors(spark, d).select(F.col("vec_id").alias("seg"), F.col("e").alias("v")))
+    return segments.appends(xs, xs).elems
+
+
 # --- scalar functions
 
 
@@ -774,6 +822,12 @@ def quickhull(spark, d):
 ORACLE["quickhull"] = ORACLE["quickhull"].replace("FROM customer)", "FROM customer WHERE c_custkey < 400)")
 
 
+@query()
+def quickhull_whole(spark, d):
+    """Of all customers; :func:`quickhull` has those its SQL has."""
+    return programs.quickhull(points(spark, d).selectExpr("cell seg", "id", "x", "y"))
+
+
 @query(
     """WITH RECURSIVE e AS (SELECT DISTINCT c_custkey AS a, c_custkey - c_custkey % 16 + (c_custkey % 16) // 2 AS b FROM customer), n AS (SELECT a, b FROM e UNION SELECT b, a FROM e),
     r AS (SELECT a, a AS z FROM n UNION SELECT r.a, n.b FROM r JOIN n ON n.a = r.z) SELECT a AS node, min(z) AS root FROM r GROUP BY 1"""
@@ -791,6 +845,15 @@ def matmul(spark, d):
     return programs.matmul(m, m.selectExpr("j i", "i j", "v"))
 
 
+@query()
+def matmul_whole(spark, d):
+    """Of all parts; :func:`matmul` has those its SQL has. Entries of one place are added up first, which leaves the
+    product the same and its terms no more than rows times rows times 40."""
+    all_parts = table(spark, d, "supplier").crossJoin(table(spark, d, "part")).selectExpr("s_suppkey i", "p_partkey % 40 j", "(s_suppkey * p_partkey) % 11 v")
+    m = all_parts.groupBy("i", "j").agg(F.sum("v").alias("v"))
+    return programs.matmul(m, m.selectExpr("j i", "i j", "v"))
+
+
 @query(
     """WITH c AS (SELECT doc_id, text, unnest(range(1, length(text) - 2)) AS i FROM documents) SELECT doc_id, count(*) AS n, min(i) - 1 AS first FROM c WHERE substr(text, i, 3) = 'the' GROUP BY 1"""
 )
