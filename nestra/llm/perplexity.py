@@ -1,29 +1,40 @@
-"""Quality by perplexity under an interpolated modified Kneser-Ney n-gram model of trusted text.
-
-Symbols are the UTF-8 bytes of a word and its end; a word's first symbol follows ``ORDER`` - 1 start symbols, and
-each language has a model of its own. An n-gram packs into one integer with its language, without collisions.
-
-1. Every task counts the n-grams of its trusted documents; counts meet by n-gram, pre-aggregated, so what is
-   gathered grows with the trusted text.
-2. Lower orders count distinct continuations, discounts come from counts of counts, and contexts get their
-   interpolation weights: grouped aggregations over n-grams.
-3. The tables of all orders are cut into shards by the last byte of the context, which all orders of one
-   prediction share. A shard has a bounded number of entries; documents are joined with one shard after the
-   other as a broadcast lookup, each giving every document part of its sum of log-probabilities.
-4. A document is kept if its perplexity is at most ``SLACK`` times the ``QUANTILE`` of its language's trusted
-   documents.
-
-Cases: null and empty texts have no symbols, a null perplexity and are kept (there is nothing against them). A
-null language is a language. Documents of a language without trusted text have a null perplexity and are kept.
-Repeated rows count as often as they stand; a document with several labels is trusted if one says so and none says
-that it is toxic. Extra columns are ignored; empty tables give empty results.
+"""Quality by perplexity under an interpolated modified Kneser-Ney model of word bigrams in trusted text.
+
+A text is its white-space separated words between a start and an end. The ``VOCABULARY`` most frequent words of the
+trusted text have numbers; any other word is "unknown" and is spelled out by a Kneser-Ney model of its bytes, learned
+from the different words of the trusted text, so that no word is left out of a document's probability.
+
+With g(v) the weight that context v leaves to the lower order and q(w) the lower order's probability of w,
+
+    log p(w | v) = log g(v) + log q(w) + [log(1 + a(v, w) / (g(v) q(w))) if v w was seen in trusted text]
+
+where a is the discounted share of the pair. The first two depend on one word each: two arrays of bounded size. The
+last is looked up where the pair's count is:
+
+1. Trusted documents are counted by task; pairs go to one of ``SHARDS`` shards by a scrambled pair number, packed
+   with their counts into four bytes each. A shard merges its pairs and keeps them as one sorted array; the table of
+   shards is written. What is gathered grows with the trusted text. A shard has at most 2 ** 20 pairs by design.
+2. Grouped sums over the shards give, for each word, its count and kinds of successors as a context, and how many
+   different words precede it; discounts come from counts of counts.
+3. The pairs of every document go, packed in the same way, to the shard that has their counts and are looked up
+   there; what comes back is summed by document, first in the task, then by a grouped sum. The most frequent pairs
+   of each shard are known to all tasks and need no journey, so that pairs of very many documents burden no shard.
+   Of any other pair a shard gets four bytes a document and occurrence, read as a stream.
+4. A document is kept if its perplexity per byte is at most ``SLACK`` times the ``QUANTILE`` of its language's
+   trusted documents. One trusted document in ``HELD_OUT`` takes no part in the counts and only sets this threshold.
+
+Cases: null and empty texts have no words, a null perplexity and are kept (there is nothing against them). A null
+language is a language. Documents of a language without trusted text have a null threshold and are kept; if none of
+a language's trusted documents is held out, all of them set its threshold. Repeated rows count as often as they
+stand; a document with several labels is trusted if one says so and none says that it is toxic. A null doc_id is
+never trusted. Extra columns are ignored; empty tables give empty results.
 """
 
 from __future__ import annotations
 
-import math
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -33,230 +44,484 @@ from pyspark.sql import types as T
 
 from .common import small, stored, utf8
 
-ORDER = 5
-#: Entries of one shard: a broadcast of about 12 bytes each.
-SHARD_ENTRIES = 2_000_000
-#: A language's limit: this quantile of its trusted documents' perplexities, times the slack.
-QUANTILE, SLACK = 0.99, 1.25
-#: Words of which a task keeps the scores, and the longest of them.
-HELD, LONGEST = 500_000, 64
-_START, _END = 2, 3
-_BITS = 8 * ORDER
-
-
-def symbols(words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """The n-gram of every symbol of the words (packed, oldest symbol highest), and each word's number of symbols."""
-    joined = (b"\x02" * (ORDER - 1)) + (b"\x03" + b"\x02" * (ORDER - 1)).join(words) + b"\x03"
-    x = np.frombuffer(joined, np.uint8).astype(np.uint64)
-    grams = np.zeros(len(x) - ORDER + 1, np.uint64)
-    for i in range(ORDER):
-        grams = (grams << np.uint64(8)) | x[i : len(x) - ORDER + 1 + i]
-    lengths = np.fromiter(map(len, words), np.int64, len(words)) + 1
-    # windows that end in the start symbols before the next word predict nothing
-    step = lengths + (ORDER - 1)
-    begin = np.cumsum(step) - step
-    at = np.repeat(begin - (np.cumsum(lengths) - lengths), lengths) + np.arange(lengths.sum())
-    return grams[at], lengths
+#: Words with a number; three more numbers are taken by unknown words, the start and the end.
+VOCABULARY = (1 << 16) - 3
+UNKNOWN, START, END, FIRST_WORD = 0, 1, 2, 3
+IDS = 1 << 16
+SHARD_BITS = 12
+SHARDS, LOW_BITS = 1 << SHARD_BITS, 32 - SHARD_BITS
+#: Most frequent pairs of a shard that all tasks know.
+KNOWN = 64
+#: A language's limit: this quantile of its held-out trusted documents' perplexities, times the slack.
+QUANTILE, SLACK, HELD_OUT = 0.98, 1.25, 8
+#: Words of pairs that a task packs at a time, and documents of such a pack (a document's place has 12 bits).
+PACKED_WORDS, PACKED_DOCS = 1 << 21, 1 << 12
+#: Different words that a task holds before it hands them on, and packs whose sums a shard's task holds.
+HELD, HELD_PACKS = 400_000, 1024
+#: Bytes of an n-gram of the spelling model: there are at most 2 ** 24 of them.
+SPELLED = 3
+
+# an odd factor scrambles pair numbers, and its inverse restores them
+_SCRAMBLE = 2654435761
+_RESTORE = pow(_SCRAMBLE, -1, 1 << 32)
+_MASK = np.uint64(0xFFFFFFFF)
+
+
+def words_of(text: bytes) -> list[bytes]:
+    """White-space separated words, case and punctuation kept."""
+    return text.translate(_BLANK).split()
 
 
-_BLANK = bytes(32 if 9 <= b <= 13 or b in (_START, _END) else b for b in range(256))
+_BLANK = bytes(32 if b < 33 else b for b in range(256))
 
 
-def _words(text: bytes) -> list[bytes]:
-    """White-space separated words, case and punctuation kept."""
-    return [w for w in text.translate(_BLANK).split(b" ") if w]
+def trusted_documents(labels: DataFrame) -> DataFrame:
+    """Distinct doc_ids with a label of quality 1 and none that says toxic (a column that may be missing)."""
+    toxic = F.max(F.coalesce(F.col("toxic") == 1, F.lit(False))) if "toxic" in labels.columns else F.lit(False)
+    said = labels.where("doc_id is not null").groupBy("doc_id").agg(F.max(F.coalesce(F.col("quality") == 1, F.lit(False))).alias("good"), toxic.alias("bad"))
+    return said.where("good and not bad").select("doc_id")
 
 
-_COUNTS = T.StructType([T.StructField("gram", T.LongType()), T.StructField("n", T.LongType())])
+def held_out(doc_id: Column) -> Column:
+    return F.pmod(F.xxhash64(F.lit("held out"), doc_id), F.lit(HELD_OUT)) == 0
 
 
-def count(trusted: DataFrame, number: dict[str, int]) -> DataFrame:
-    """(gram, n) over all trusted texts. ``trusted`` has lang and text; a gram has its language's number on top."""
+def discounts(counts_of_counts: Iterable[int]) -> np.ndarray:
+    """0, D1, D2 and D3 from the numbers of n-grams that were seen once, twice, three and four times."""
+    n1, n2, n3, n4 = (max(1, int(n)) for n in counts_of_counts)
+    y = n1 / (n1 + 2 * n2)
+    found = (1 - 2 * y * n2 / n1, 2 - 3 * y * n3 / n2, 3 - 4 * y * n4 / n3)
+    return np.array([0.0, *(min(max(d, 0.05), k - 0.05) for k, d in enumerate(found, 1))])
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[str, Counter[bytes]] = {}
-
-        def flush() -> Iterator[pa.RecordBatch]:
-            for lang, seen in held.items():
-                grams, lengths = symbols(list(seen))
-                weights = np.repeat(np.fromiter(seen.values(), np.int64, len(seen)), lengths)
-                keys, at = np.unique(grams, return_inverse=True)
-                n = np.bincount(at, weights).astype(np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array((keys | np.uint64(number[lang] << _BITS)).view(np.int64)), pa.array(n)], names=_COUNTS.names)
-            held.clear()
 
-        for batch in batches:
-            for lang, text in zip(batch.column(0).to_pylist(), utf8(batch.column(1))):
-                if text:
-                    held.setdefault(lang, Counter()).update(_words(text))
-            if sum(map(len, held.values())) > HELD:
-                yield from (b for b in flush() if b.num_rows)
-        yield from (b for b in flush() if b.num_rows)
+def _less(counts: np.ndarray, d: np.ndarray) -> np.ndarray:
+    """Discounted counts."""
+    return counts - d[np.minimum(counts, 3)]
 
-    return trusted.select(F.coalesce("lang", F.lit("")).alias("lang"), "text").mapInArrow(run, _COUNTS).groupBy("gram").agg(F.sum("n").alias("n"))
 
+# --- spelling of unknown words
 
-def _discounts(grams: DataFrame) -> tuple[float, float, float]:
-    """D1, D2 and D3+ from the counts of counts."""
-    n = grams.agg(*(F.count_if(F.col("n") == k) for k in (1, 2, 3, 4))).first()
-    n1, n2, n3, n4 = (max(1, x or 0) for x in n)
-    y = n1 / (n1 + 2 * n2)
-    return tuple(min(max(d, 0.05), k - 0.05) for k, d in ((1, 1 - 2 * y * n2 / n1), (2, 2 - 3 * y * n3 / n2), (3, 3 - 4 * y * n4 / n3)))
-
-
-def tables(counts: DataFrame) -> DataFrame:
-    """(order, gram, alpha, context, weight): rows with alpha for n-grams, rows with weight for contexts.
-
-    Grams and contexts of order k hold the language and k (k - 1) symbols; the lowest order is one symbol.
-    """
-    top = (1 << 62) - (1 << _BITS)
-    grams, out = counts, None
-    for k in range(ORDER, 0, -1):
-        mask = top | ((1 << 8 * k) - 1)
-        if k < ORDER:  # how many different symbols come before
-            grams = stored(grams.select(F.col("gram").bitwiseAND(mask).alias("gram")).groupBy("gram").agg(F.count(F.lit(1)).alias("n")))
-        d1, d2, d3 = _discounts(grams)
-        n = F.col("n")
-        context = F.col("gram").bitwiseAND(~0xFF)
-        of = grams.groupBy(context.alias("context")).agg(F.sum("n").alias("total"), F.count_if(n == 1).alias("n1"), F.count_if(n == 2).alias("n2"), F.count_if(n >= 3).alias("n3"))
-        # contexts have at most 256 symbols each: the join is on a key of bounded groups
-        joined = grams.withColumn("context", context).join(of, "context")
-        alpha = (n - F.when(n == 1, d1).when(n == 2, d2).otherwise(d3)) / F.col("total")
-        rows = joined.select(F.lit(k).alias("order"), F.col("gram").alias("key"), F.lit(False).alias("is_context"), alpha.cast("float").alias("value"))
-        weight = (d1 * F.col("n1") + d2 * F.col("n2") + d3 * F.col("n3")) / F.col("total")
-        rows = rows.unionByName(of.select(F.lit(k).alias("order"), F.col("context").alias("key"), F.lit(True).alias("is_context"), weight.cast("float").alias("value")))
-        out = rows if out is None else out.unionByName(rows)
-    return out.withColumn("last", F.shiftright("key", 8).bitwiseAND(0xFF).cast("int"))
-
-
-class Shard:
-    """Sorted keys and values of some contexts, by order."""
-
-    def __init__(self, rows: pa.Table, lasts: set[int], number: dict[str, int]):
-        self.lasts, self.number, self.of = np.zeros(256, bool), number, {}
-        self.lasts[list(lasts)] = True
-        order, is_context = rows["order"].to_numpy(), rows["is_context"].to_numpy()
-        keys, values = rows["key"].to_numpy(), rows["value"].to_numpy()
-        for k in range(1, ORDER + 1):
-            for c in (False, True):
-                pick = (order == k) & (is_context == c)
-                by = np.argsort(keys[pick])
-                self.of[k, c] = keys[pick][by], values[pick][by]
-
-    def _get(self, k: int, context: bool, keys: np.ndarray, missing: float) -> np.ndarray:
-        have, values = self.of[k, context]
-        if not len(have):
-            return np.full(len(keys), missing)
-        at = np.minimum(np.searchsorted(have, keys), len(have) - 1)
-        return np.where(have[at] == keys, values[at], missing)
-
-    def scores(self, lang: str, words: list[bytes]) -> np.ndarray:
-        """Sums of log-probabilities of the symbols whose context ends in this shard's bytes, per word."""
-        grams, lengths = symbols(words)
-        word = np.repeat(np.arange(len(words)), lengths)
-        mine = self.lasts[((grams >> np.uint64(8)) & np.uint64(0xFF)).astype(np.int64)]
-        grams, word = grams[mine], word[mine]
+
+def byte_grams(words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """The ``SPELLED`` bytes up to each byte of the words and to their ends (three in one number), and how many a word has."""
+    joined = b"\x02" * (SPELLED - 1) + (b"\x03" + b"\x02" * (SPELLED - 1)).join(words) + b"\x03"
+    x = np.frombuffer(joined, np.uint8).astype(np.int64)
+    grams = sum(x[i : len(x) - SPELLED + 1 + i] << 8 * (SPELLED - 1 - i) for i in range(SPELLED))
+    lengths = np.fromiter(map(len, words), np.int64, len(words)) + 1
+    # what would end in the start bytes of the next word predicts nothing
+    begin = np.cumsum(lengths + SPELLED - 1) - lengths - SPELLED + 1
+    return grams[np.repeat(begin - (np.cumsum(lengths) - lengths), lengths) + np.arange(lengths.sum())], lengths
+
+
+class Spelling:
+    """Interpolated modified Kneser-Ney model of the bytes of words. ``grams`` are sorted, with their counts."""
+
+    def __init__(self, grams: np.ndarray, counts: np.ndarray):
+        self.orders = []
+        for k in range(SPELLED, 0, -1):
+            if k < SPELLED:  # how many different bytes come before
+                grams, counts = np.unique(grams & ((1 << 8 * k) - 1), return_counts=True)
+            d = discounts(np.count_nonzero(counts == n) for n in (1, 2, 3, 4))
+            contexts, of = np.unique(grams >> 8, return_inverse=True)
+            total = np.bincount(of, counts, len(contexts))
+            left = np.bincount(of, d[np.minimum(counts, 3)], len(contexts)) / total if len(contexts) else total
+            self.orders.append((grams, _less(counts, d) / total[of], contexts, left))
+        self.orders.reverse()
+
+    def logs(self, words: list[bytes]) -> np.ndarray:
+        """Log-probability of each word and its end."""
+        if not words:
+            return np.empty(0)
+        grams, lengths = byte_grams(words)
         keys, back = np.unique(grams, return_inverse=True)
-        keys = keys.view(np.int64) | (self.number[lang] << _BITS)
-        top = ~((1 << _BITS) - 1)
         p = np.full(len(keys), 1 / 256)
-        for k in range(1, ORDER + 1):
-            of = keys & (top | ((1 << 8 * k) - 1))
-            p = self._get(k, False, of, 0.0) + self._get(k, True, of & ~0xFF, 1.0) * p
-        return np.bincount(word, np.log(p)[back], minlength=len(words))
+        for k, (have, alpha, contexts, left) in enumerate(self.orders, 1):
+            of = keys & ((1 << 8 * k) - 1)
+            p = _find(have, alpha, of, 0.0) + _find(contexts, left, of >> 8, 1.0) * p
+        return np.bincount(np.repeat(np.arange(len(words)), lengths), np.log(p)[back], len(words))
+
+
+def _find(have: np.ndarray, values: np.ndarray, keys: np.ndarray, missing: float) -> np.ndarray:
+    if not len(have):
+        return np.full(len(keys), missing)
+    at = np.minimum(np.searchsorted(have, keys), len(have) - 1)
+    return np.where(have[at] == keys, values[at], missing)
+
+
+# --- words and pairs as numbers
+
+
+def _scrambled(v: np.ndarray, w: np.ndarray) -> np.ndarray:
+    return ((v.astype(np.uint64) << np.uint64(16) | w.astype(np.uint64)) * np.uint64(_SCRAMBLE)) & _MASK
+
+
+def _restored(pairs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    plain = (pairs * np.uint64(_RESTORE)) & _MASK
+    return (plain >> np.uint64(16)).astype(np.int64), (plain & np.uint64(0xFFFF)).astype(np.int64)
+
+
+def _packs(pairs: np.ndarray, payload: np.ndarray) -> Iterator[tuple[int, bytes]]:
+    """Shard and packed rows: 20 bits of the pair and 12 of payload, sorted."""
+    rows = np.sort(pairs << np.uint64(12) | payload.astype(np.uint64))
+    cut = np.searchsorted(rows, np.arange(SHARDS + 1, dtype=np.uint64) << np.uint64(LOW_BITS + 12))
+    data = rows.astype(np.uint32).tobytes()
+    for shard in np.flatnonzero(cut[1:] > cut[:-1]).tolist():
+        yield shard, data[4 * cut[shard] : 4 * cut[shard + 1]]
+
+
+def _unpacked(data: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """The pairs' low bits and the payload."""
+    rows = np.frombuffer(data, np.uint32)
+    return rows >> np.uint32(12), rows & np.uint32(0xFFF)
 
 
-def _shards(rows: DataFrame, number: dict[str, int], entries: int) -> Iterator[Shard]:
-    """The lowest order has the context byte 0 in every language; it goes with each shard."""
-    sizes = sorted(((r["last"], r["n"]) for r in rows.where("order > 1").groupBy("last").agg(F.count(F.lit(1)).alias("n")).collect()), key=lambda x: (-x[1], x[0]))
-    packs: list[tuple[int, set[int]]] = []
-    for last, n in sizes:
-        fit = next((i for i, (held, _) in enumerate(packs) if held + n <= entries), None)
-        if fit is None:
-            packs.append((n, {last}))
-        else:
-            packs[fit] = (packs[fit][0] + n, packs[fit][1] | {last})
-    packs = packs or [(0, set())]
-    packs[0][1].update(set(range(256)) - {b for _, of in packs for b in of})
-    for _, lasts in packs:
-        yield Shard(rows.where((F.col("order") == 1) | F.col("last").isin(*sorted(lasts))).select("order", "key", "is_context", "value").toArrow(), lasts, number)
+def _numbered(batches: Iterable[list[bytes | None]], number: dict[bytes, int], words: int = PACKED_WORDS, docs: int = PACKED_DOCS):
+    """Packs of documents: places of their first pairs, first and second word numbers of all pairs, texts' words."""
+    seqs: list[list[bytes]] = []
+    held = 0
+    for texts in batches:
+        for text in texts:
+            seqs.append(words_of(text) if text else [])
+            held += len(seqs[-1]) + 1
+            if held >= words or len(seqs) == docs:
+                yield (*_pairs(seqs, number), seqs)
+                seqs, held = [], 0
+    if seqs:
+        yield (*_pairs(seqs, number), seqs)
 
 
-_PARTS = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("mark", T.LongType()), T.StructField("lang", T.StringType()), T.StructField("symbols", T.LongType()), T.StructField("logs", T.DoubleType())])
+def _pairs(seqs: list[list[bytes]], number: dict[bytes, int]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """An empty document has one pair, of start and end."""
+    lengths = np.fromiter(map(len, seqs), np.int64, len(seqs)) + 1
+    ends = np.cumsum(lengths)
+    first, second = np.empty(int(ends[-1]), np.uint16), np.empty(int(ends[-1]), np.uint16)
+    get = number.get
+    inner = np.ones(len(second), bool)
+    inner[ends - 1] = False
+    second[inner] = np.fromiter((get(w, UNKNOWN) for seq in seqs for w in seq), np.uint16, len(second) - len(seqs))
+    second[ends - 1] = END
+    first[1:] = second[:-1]
+    first[ends - lengths] = START
+    return ends - lengths, first, second
 
 
-def _partial(documents: DataFrame, shard: Shard) -> DataFrame:
-    shared = documents.sparkSession.sparkContext.broadcast(shard)
+# --- counting
+
+
+def word_counts(trusted: DataFrame) -> DataFrame:
+    """(word, n) over the column text. A task counts before anything is sent."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shard = shared.value
-        cache: dict[str, dict[bytes, float]] = {}
+        seen: Counter[bytes] = Counter()
         for batch in batches:
-            for start in range(0, batch.num_rows, 500):
-                part = batch.slice(start, 500)
-                langs = part.column(2).to_pylist()
-                rows = [_words(t or b"") if lang in shard.number else [] for lang, t in zip(langs, utf8(part.column(3)))]
-                new: dict[str, set[bytes]] = {}
-                for lang, seq in zip(langs, rows):
-                    new.setdefault(lang, set()).update(seq)
-                scores: dict[str, dict[bytes, float]] = {}
-                for lang, found in new.items():
-                    held = cache.setdefault(lang, {})
-                    if len(held) > HELD:
-                        held.clear()
-                    unseen = [w for w in found if w not in held]
-                    fresh = dict(zip(unseen, shard.scores(lang, unseen).tolist())) if unseen else {}
-                    held.update((w, s) for w, s in fresh.items() if len(w) <= LONGEST)
-                    scores[lang] = held | fresh if any(len(w) > LONGEST for w in fresh) else held
-                logs = [math.fsum(map(scores[lang].__getitem__, seq)) if seq else None for lang, seq in zip(langs, rows)]
-                sizes = [sum(map(len, seq)) + len(seq) for seq in rows]
-                yield pa.RecordBatch.from_arrays([*part.columns[:3], pa.array(sizes, pa.int64()), pa.array(logs, pa.float64())], names=_PARTS.names)
-
-    return documents.mapInArrow(run, _PARTS)
-
-
-def _mark(text: Column) -> Column:
-    return F.xxhash64(text)
+            for text in utf8(batch.column(0)):
+                seen.update(words_of(text or b""))
+                if len(seen) > HELD:
+                    yield rows(seen)
+                    seen.clear()
+        if seen:
+            yield rows(seen)
 
+    def rows(seen: Counter[bytes]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(list(seen), pa.binary()), pa.array(list(seen.values()), pa.int64())], names=["word", "n"])
+
+    return trusted.select("text").mapInArrow(run, "word binary, n bigint").groupBy("word").agg(F.sum("n").alias("n"))
+
+
+def spelling(words: DataFrame) -> Spelling:
+    """Of the different words; at most 2 ** 24 counts come to the driver, one for each n-gram of bytes."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            grams, n = np.unique(byte_grams(batch.column(0).to_pylist())[0], return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(grams), pa.array(n)], names=["gram", "n"])
+
+    got = words.select("word").mapInArrow(run, "gram bigint, n bigint").groupBy("gram").agg(F.sum("n").alias("n")).toArrow().sort_by("gram")
+    return Spelling(got["gram"].to_numpy(), got["n"].to_numpy())
 
-def trusted_documents(labels: DataFrame) -> DataFrame:
-    """Distinct doc_ids with a label of quality 1 and none that says toxic (a column that may be missing)."""
-    toxic = F.max(F.coalesce(F.col("toxic") == 1, F.lit(False))) if "toxic" in labels.columns else F.lit(False)
-    said = labels.where("doc_id is not null").groupBy("doc_id").agg(F.max(F.coalesce(F.col("quality") == 1, F.lit(False))).alias("good"), toxic.alias("bad"))
-    return said.where("good and not bad").select("doc_id")
 
+def pair_counts(trusted: DataFrame, number: dict[bytes, int]) -> DataFrame:
+    """(shard, pack): the pairs of the trusted texts with their counts, one row a shard. A count of more than 12 bits
+    takes several entries."""
+    shared = trusted.sparkSession.sparkContext.broadcast(number)
 
-def score(documents: DataFrame, labels: DataFrame, entries: int = SHARD_ENTRIES) -> DataFrame:
-    """Per document: doc_id, lang ('' if null), symbols, perplexity, trusted."""
-    trusted_ids = small(stored(trusted_documents(labels)))
-    docs = documents.select("doc_id", _mark(F.col("text")).alias("mark"), F.coalesce("lang", F.lit("")).alias("lang"), "text")
-    trusted = documents.select("doc_id", "lang", "text").join(trusted_ids, "doc_id", "left_semi")
-    names = [r[0] for r in trusted.select(F.coalesce("lang", F.lit(""))).distinct().collect()]
-    number = {lang: i + 1 for i, lang in enumerate(sorted(names))}
-    counts = stored(count(trusted, number))
-    rows = stored(tables(counts))
-    parts, *others = (_partial(docs, shard) for shard in _shards(rows, number, entries))
-    if others:  # equal rows have equal sums in every shard: they meet under one key and come out as often as before
-        parts = stored(parts)
-        for part in others:
-            parts = parts.unionByName(stored(part))
-        met = parts.groupBy("doc_id", "mark", "lang", "symbols", "logs").count()
-        shards = met.groupBy("doc_id", "mark", "lang", "symbols")
-        copies = documents.select("doc_id", _mark(F.col("text")).alias("mark"), F.coalesce("lang", F.lit("")).alias("lang")).groupBy("doc_id", "mark", "lang").agg(F.count(F.lit(1)).alias("copies"))
-        summed = shards.agg(F.sum(F.col("logs") * F.col("count")).alias("logs"))
-        same = F.col("s.doc_id").eqNullSafe(F.col("c.doc_id")) & (F.col("s.mark") == F.col("c.mark")) & (F.col("s.lang") == F.col("c.lang"))
-        parts = summed.alias("s").join(copies.alias("c"), same).withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), "copies")))
-        parts = parts.select("s.doc_id", "s.lang", "symbols", (F.col("logs") / F.col("copies")).alias("logs"))
-    out = parts.select("doc_id", "lang", "symbols", F.exp(-F.col("logs") / F.col("symbols")).alias("perplexity"))
-    ids = trusted_ids.withColumnRenamed("doc_id", "__trusted")
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for _, first, second, _ in _numbered((utf8(b.column(0)) for b in batches), shared.value, 2 * PACKED_WORDS, 1 << 30):
+            # a text without words has no pair
+            said = (first != START) | (second != END)
+            yield rows(_packs(*_split(*np.unique(_scrambled(first[said], second[said]), return_counts=True))))
+
+    def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        here, held, size = None, [], 0
+
+        def merged() -> tuple[np.ndarray, np.ndarray]:
+            low, n = (np.concatenate(c) for c in zip(*held))
+            keys, of = np.unique(low, return_inverse=True)
+            return keys, np.bincount(of, n, len(keys)).astype(np.int64)
+
+        for batch in batches:
+            for shard, data in zip(batch.column(0).to_pylist(), batch.column(1)):
+                if shard != here and held:
+                    yield rows(_packs(*_split(_whole(here, (got := merged())[0]), got[1])))
+                    held, size = [], 0
+                here = shard
+                held.append(_unpacked(data.as_py()))
+                size += len(held[-1][0])
+                if size > 1 << (LOW_BITS + 1):
+                    held = [merged()]
+                    size = len(held[0][0])
+        if held:
+            yield rows(_packs(*_split(_whole(here, (got := merged())[0]), got[1])))
+
+    def rows(packs: Iterable[tuple[int, bytes]]) -> pa.RecordBatch:
+        packs = list(packs)
+        return pa.RecordBatch.from_arrays([pa.array([s for s, _ in packs], pa.int32()), pa.array([d for _, d in packs], pa.binary())], names=["shard", "pack"])
+
+    schema = "shard int, pack binary"
+    return trusted.select("text").mapInArrow(count, schema).repartition("shard").sortWithinPartitions("shard").mapInArrow(merge, schema)
+
+
+def _whole(shard: int, low: np.ndarray) -> np.ndarray:
+    return np.uint64(shard << LOW_BITS) | low.astype(np.uint64)
+
+
+def _split(pairs: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Counts of 12 bits at the most, larger ones as several."""
+    times = (n + 4094) // 4095
+    last = np.cumsum(times) - 1
+    out = np.full(int(times.sum()), 4095, np.int64)
+    out[last] = n - 4095 * (times - 1)
+    return np.repeat(pairs, times), out
+
+
+def _counted(data: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """A shard's pairs (low bits, sorted) and their counts."""
+    low, n = _unpacked(data)
+    keys, start = np.unique(low, return_index=True)
+    return keys, np.add.reduceat(n.astype(np.int64), start) if len(low) else n.astype(np.int64)
+
+
+@dataclass
+class Model:
+    """What all tasks know: arrays by word number, the frequent pairs, and the spelling of other words."""
+
+    number: dict[bytes, int]
+    total: np.ndarray
+    log_left: np.ndarray
+    log_lower: np.ndarray
+    discount: np.ndarray
+    spelling: Spelling
+    known: np.ndarray
+    known_gain: np.ndarray
+
+    def gain(self, pairs: np.ndarray, n: np.ndarray) -> np.ndarray:
+        """What a seen pair adds to the logarithm."""
+        v, w = _restored(pairs)
+        return np.log1p(_less(n, self.discount) / self.total[v] * np.exp(-self.log_left[v] - self.log_lower[w]))
+
+
+def fit(trusted: DataFrame, vocabulary: int = VOCABULARY) -> tuple[Model, DataFrame]:
+    """The model of the column text, and the table of its pairs (shard, pack)."""
+    words = stored(word_counts(trusted))
+    top = words.orderBy(F.desc("n"), "word").limit(min(vocabulary, VOCABULARY)).select("word").toArrow()["word"].to_pylist()
+    number = {w: i for i, w in enumerate(top, FIRST_WORD)}
+    pairs = stored(pair_counts(trusted, number))
+
+    def sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """By word number: as a context its count and its successors seen once, twice and more often; its predecessors.
+        Row -1: pairs seen once to four times."""
+        by = np.zeros((IDS, 5), np.int64)
+        kinds = np.zeros(4, np.int64)
+        for batch in batches:
+            for shard, data in zip(batch.column(0).to_pylist(), batch.column(1)):
+                low, n = _counted(data.as_py())
+                v, w = _restored(_whole(shard, low))
+                by[:, 0] += np.bincount(v, n, IDS).astype(np.int64)
+                for i in (1, 2, 3):
+                    by[:, i] += np.bincount(v[np.minimum(n, 3) == i], minlength=IDS)
+                by[:, 4] += np.bincount(w, minlength=IDS)
+                kinds += np.array([np.count_nonzero(n == i) for i in (1, 2, 3, 4)])
+        at = np.flatnonzero(by.any(1))
+        columns = [np.append(at, -1), *(np.append(by[at, i], kinds[i] if i < 4 else 0) for i in range(5))]
+        yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["id", "a", "b", "c", "d", "e"])
+
+    got = pairs.mapInArrow(sums, "id bigint, a bigint, b bigint, c bigint, d bigint, e bigint").groupBy("id").agg(*(F.sum(c).alias(c) for c in "abcde")).toArrow()
+    by, kinds = np.zeros((IDS, 5), np.int64), np.zeros(4, np.int64)
+    rows = np.stack([got[c].to_numpy() for c in "abcde"], axis=1)
+    inner = (ids := got["id"].to_numpy()) >= 0
+    by[ids[inner]] = rows[inner]
+    if (~inner).any():
+        kinds = rows[~inner][0, :4]
+    model = _model(number, by, kinds, spelling(words))
+    shared = trusted.sparkSession.sparkContext.broadcast(model)
+
+    def frequent(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for shard, data in zip(batch.column(0).to_pylist(), batch.column(1)):
+                low, n = _counted(data.as_py())
+                most = np.sort(np.argsort(-n, kind="stable")[:KNOWN])
+                whole = _whole(shard, low[most])
+                yield pa.RecordBatch.from_arrays([pa.array(whole.astype(np.int64)), pa.array(shared.value.gain(whole, n[most]))], names=["pair", "gain"])
+
+    known = pairs.mapInArrow(frequent, "pair bigint, gain double").toArrow().sort_by("pair")  # at most KNOWN a shard
+    model.known, model.known_gain = known["pair"].to_numpy().astype(np.uint64), known["gain"].to_numpy()
+    return model, pairs
+
+
+def _model(number: dict[bytes, int], by: np.ndarray, kinds: np.ndarray, spelled: Spelling) -> Model:
+    d = discounts(kinds)
+    total, before = by[:, 0], by[:, 4]
+    left = np.where(total > 0, by[:, 1:4] @ d[1:] / np.maximum(total, 1), 1.0)
+    # the lower order: words by how many different words precede them, interpolated with an even share
+    below = discounts(np.count_nonzero(before == n) for n in (1, 2, 3, 4))
+    all_pairs, choices = max(1, before.sum()), len(number) + 2
+    rest = below[np.minimum(before, 3)].sum() / all_pairs if before.any() else 1.0
+    lower = _less(before, below) / all_pairs + rest / choices
+    return Model(number, total, np.log(left), np.log(lower), d, spelled, np.empty(0, np.uint64), np.empty(0))
+
+
+# --- scoring
+
+_ROWS = T.StructType(
+    [
+        T.StructField("shard", T.IntegerType()),
+        T.StructField("kind", T.IntegerType()),
+        T.StructField("row", T.LongType()),
+        T.StructField("doc_id", T.LongType()),
+        T.StructField("lang", T.StringType()),
+        T.StructField("symbols", T.LongType()),
+        T.StructField("logs", T.DoubleType()),
+        T.StructField("pack", T.BinaryType()),
+    ]
+)
+_ARROW = [pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.float64(), pa.binary()]
+_COUNTS, _PAIRS, _DOCUMENT = 0, 1, 2
+
+
+def _batch(n: int, **columns) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(columns[f.name], t) if f.name in columns else pa.nulls(n, t) for f, t in zip(_ROWS, _ARROW)], names=_ROWS.names)
+
+
+def _sent(documents: DataFrame, model: Model) -> DataFrame:
+    """Rows of kind _DOCUMENT (what needs no shard) and of kind _PAIRS (a pack of documents' pairs for one shard; ``row``
+    is the first of these documents, which stand one after another)."""
+    shared = documents.sparkSession.sparkContext.broadcast(model)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        model = shared.value
+        spelled: dict[bytes, float] = {}
+        waiting: list[pa.RecordBatch] = []
+
+        def texts() -> Iterator[list[bytes | None]]:
+            for batch in batches:
+                waiting.append(batch.select([0, 1, 2]))
+                yield utf8(batch.column(3))
+
+        for starts, first, second, seqs in _numbered(texts(), model.number):
+            n = len(seqs)
+            ids = pa.Table.from_batches(waiting)
+            mine, rest = ids.slice(0, n), ids.slice(n)
+            waiting[:] = rest.to_batches()
+            row = mine.column(0).to_numpy()
+            # documents of a task have consecutive row numbers
+            logs = model.log_left[first] + model.log_lower[second]
+            pairs = _scrambled(first, second)
+            place = np.repeat(np.arange(n), np.diff(np.append(starts, len(pairs))))
+            at = np.minimum(np.searchsorted(model.known, pairs), max(0, len(model.known) - 1))
+            known = model.known[at] == pairs if len(model.known) else np.zeros(len(pairs), bool)
+            logs[known] += model.known_gain[at[known]]
+            total = np.bincount(place, logs, n)
+            unknown = np.flatnonzero(second == UNKNOWN)
+            if len(unknown):
+                # the word at a pair's place in its document
+                of = place[unknown]
+                found = [seqs[d][i] for d, i in zip(of.tolist(), (unknown - starts[of]).tolist())]
+                if len(spelled) > HELD:
+                    spelled.clear()
+                new = list({w for w in found if w not in spelled})
+                spelled.update(zip(new, model.spelling.logs(new).tolist()))
+                total += np.bincount(of, [spelled[w] for w in found], n)
+            symbols = [sum(map(len, seq)) + len(seq) for seq in seqs]
+            yield _batch(
+                n, shard=(-1 - row % SHARDS).astype(np.int32), kind=np.full(n, _DOCUMENT, np.int32), row=row, doc_id=mine.column(1).combine_chunks(), lang=mine.column(2).combine_chunks(), symbols=symbols, logs=total
+            )
+            sent = list(_packs(pairs[~known], place[~known]))
+            if sent:
+                yield _batch(len(sent), shard=[s for s, _ in sent], kind=np.full(len(sent), _PAIRS, np.int32), row=np.full(len(sent), row[0]), pack=[d for _, d in sent])
+
+    return documents.select("row", "doc_id", "lang", "text").mapInArrow(run, _ROWS)
+
+
+def _looked_up(rows: DataFrame, model: Model) -> DataFrame:
+    """(row, doc_id, lang, symbols, logs): documents, and sums of their pairs from each task."""
+    shared = rows.sparkSession.sparkContext.broadcast(model)
+    schema = T.StructType(_ROWS[2:7])
+    kinds = _ARROW[2:7]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        model = shared.value
+        here, keys, gains = None, np.empty(0, np.uint32), np.empty(0)
+        held: dict[int, np.ndarray] = {}
+
+        def sums() -> pa.RecordBatch:
+            at = {first: np.flatnonzero(of) for first, of in held.items()}
+            row = np.concatenate([first + places for first, places in at.items()])
+            logs = np.concatenate([held[first][places] for first, places in at.items()])
+            held.clear()
+            return pa.RecordBatch.from_arrays([pa.array(row, pa.int64()), *(pa.nulls(len(row), k) for k in kinds[1:4]), pa.array(logs)], names=schema.names)
+
+        for batch in batches:
+            kind = batch.column(1).to_numpy()
+            if (kind == _DOCUMENT).any():
+                yield pa.RecordBatch.from_arrays(batch.filter(pa.array(kind == _DOCUMENT)).columns[2:7], names=schema.names)
+            for i in np.flatnonzero(kind != _DOCUMENT).tolist():
+                shard = batch.column(0)[i].as_py()
+                if shard != here:
+                    here, keys, gains = shard, np.empty(0, np.uint32), np.empty(0)
+                data = batch.column(7)[i].as_py()
+                if kind[i] == _COUNTS:
+                    keys, n = _counted(data)
+                    gains = model.gain(_whole(shard, keys), n)
+                    continue
+                if not len(keys):
+                    continue
+                low, place = _unpacked(data)
+                at = np.minimum(np.searchsorted(keys, low), len(keys) - 1)
+                seen = keys[at] == low
+                first = batch.column(2)[i].as_py()
+                of = held.setdefault(first, np.zeros(PACKED_DOCS))
+                np.add.at(of, place[seen], gains[at[seen]])
+                if len(held) > HELD_PACKS:
+                    yield sums()
+        if held:
+            yield sums()
+
+    return rows.repartition("shard").sortWithinPartitions("shard", "kind", "row").mapInArrow(run, schema)
+
+
+def score(documents: DataFrame, labels: DataFrame, vocabulary: int = VOCABULARY) -> DataFrame:
+    """Per document: doc_id, lang ('' if null), symbols (bytes and ends of words), perplexity (by symbol), trusted,
+    held_out (trusted and not counted)."""
+    trusted_ids = stored(trusted_documents(labels))
+    known = small(trusted_ids)
+    trusted = documents.select("doc_id", "text").join(known, "doc_id", "left_semi").where(~held_out(F.col("doc_id")))
+    model, pairs = fit(trusted, vocabulary)
+    docs = documents.select("doc_id", F.coalesce("lang", F.lit("")).alias("lang"), "text").withColumn("row", F.monotonically_increasing_id())
+    counts = pairs.select("shard", F.lit(_COUNTS).alias("kind"), *(F.lit(None).cast(f.dataType).alias(f.name) for f in _ROWS[2:7]), "pack")
+    found = _looked_up(_sent(docs, model).unionByName(counts), model)
+    out = found.groupBy("row").agg(*(F.max(c).alias(c) for c in ("doc_id", "lang", "symbols")), F.sum("logs").alias("logs"))
+    out = out.select("doc_id", "lang", "symbols", F.when(F.col("symbols") > 0, F.round(F.exp(-F.col("logs") / F.col("symbols")), 9)).alias("perplexity"))
+    ids = small(trusted_ids.withColumnRenamed("doc_id", "__trusted"))
     out = out.join(ids, F.col("doc_id") == F.col("__trusted"), "left")
-    return out.select("doc_id", "lang", "symbols", "perplexity", F.col("__trusted").isNotNull().alias("trusted"))
+    trusted_one = F.col("__trusted").isNotNull()
+    return out.select("doc_id", "lang", "symbols", "perplexity", trusted_one.alias("trusted"), (trusted_one & F.coalesce(held_out(F.col("doc_id")), F.lit(False))).alias("held_out"))
 
 
-def classify(documents: DataFrame, labels: DataFrame, quantile: float = QUANTILE, entries: int = SHARD_ENTRIES) -> DataFrame:
+def classify(documents: DataFrame, labels: DataFrame, quantile: float = QUANTILE, slack: float = SLACK, vocabulary: int = VOCABULARY) -> DataFrame:
     """Per document: doc_id, lang, symbols, perplexity, threshold (its language's), kept."""
-    scored = stored(score(documents, labels, entries))
-    limits = scored.where("trusted and perplexity is not null").groupBy("lang").agg((SLACK * F.percentile_approx("perplexity", quantile, 10000)).alias("threshold"))
+    scored = stored(score(documents, labels, vocabulary))
+    at = lambda where: F.percentile_approx(F.when(where, F.col("perplexity")), quantile, 10000)
+    limits = scored.where("trusted and perplexity is not null").groupBy("lang").agg((slack * F.coalesce(at(F.col("held_out")), at(F.lit(True)))).alias("threshold"))
     out = scored.join(small(stored(limits)), "lang", "left")
     kept = F.col("perplexity").isNull() | F.col("threshold").isNull() | (F.col("perplexity") <= F.col("threshold"))
     return out.select("doc_id", "lang", "symbols", "perplexity", "threshold", kept.alias("kept"))

@@ -11,7 +11,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from nestra.llm import chat, decontaminate, html_content, language, licenses, mixing, ogg, perplexity, pii, queries, simhash
+from nestra.llm import chat, decontaminate, html_content, language, licenses, mixing, ogg, pii, queries, simhash
 from nestra.llm.common import stored
 from nestra.llm.components import components
 
@@ -216,38 +216,6 @@ def test_language(spark, odd):
     assert [r["kept"] for r in language.identify(nothing, language.fit(docs)).orderBy("doc_id").collect()] == [False, False]
 
 
-def test_perplexity_equals_plain_counts(spark, odd):
-    docs = spark.createDataFrame([(1, "aa ab ba", "x"), (2, "ab ab zz", "x"), (3, None, "x"), (4, "q", "y"), (1, "aa ab ba", "x")], "doc_id long, text string, lang string")
-    labels = spark.createDataFrame([(1, 1), (1, 1), (2, 0)], "doc_id long, quality int")
-    got = rows(perplexity.score(docs, labels), "doc_id", "symbols", "perplexity")
-    assert got == rows(perplexity.score(docs, labels, entries=1), "doc_id", "symbols", "perplexity") or np.allclose(
-        [r[2] or 0 for r in got], [r[2] or 0 for r in rows(perplexity.score(docs, labels, entries=1), "doc_id", "symbols", "perplexity")]
-    )
-    assert [r[:2] for r in got] == [(1, 9), (1, 9), (2, 9), (3, 0), (4, 0)] and got[0][2] < got[2][2] and got[3][2] is None
-    counts = {}
-    for w in "aa ab ba".split() * 2:
-        s = "\x02" * 4 + w + "\x03"
-        for i in range(4, len(s)):
-            counts[s[i - 4 : i + 1]] = counts.get(s[i - 4 : i + 1], 0) + 1
-    made = perplexity.count(docs.where("doc_id = 1").select("lang", "text"), {"x": 1}).collect()
-    assert {(r["gram"] & ((1 << 40) - 1)).to_bytes(5, "big").decode(): r["n"] for r in made} == counts
-    whole = perplexity.classify(odd, labels)
-    assert whole.count() == 7 and perplexity.classify(odd.limit(0), labels).count() == 0
-
-
-def test_probabilities_add_up(spark):
-    docs = spark.createDataFrame([(1, "abra cadabra abba bad cab", "x")], "doc_id long, text string, lang string")
-    table = stored(perplexity.tables(stored(perplexity.count(docs, {"x": 1}))))
-    (shard,) = perplexity._shards(table, {"x": 1}, 10**6)
-    for context in (b"\x02\x02ab", b"\x02\x02\x02\x02", b"zzzz"):  # seen, word start, unseen
-        keys = np.array([int.from_bytes(context + bytes([b]), "big") | 1 << 40 for b in range(256)], np.int64)
-        p = np.full(256, 1 / 256)
-        for k in range(1, perplexity.ORDER + 1):
-            of = keys & (~((1 << 40) - 1) | ((1 << 8 * k) - 1))
-            p = shard._get(k, False, of, 0.0) + shard._get(k, True, of & ~0xFF, 1.0) * p
-        assert abs(p.sum() - 1) < 1e-5
-
-
 def test_ogg_pages():
     r = random.Random(1)
 
