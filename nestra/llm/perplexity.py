@@ -17,7 +17,7 @@ last is looked up where the pair's count is:
 2. Grouped sums over the shards give, for each word, its count and kinds of successors as a context, and how many
    different words precede it; discounts come from counts of counts.
 3. The pairs of every document go, packed in the same way, to the shard that has their counts and are looked up
-   there; what comes back is summed by document, first in the task, then by a grouped sum. The most frequent pairs
+   there; what comes back is summed by document, first in the task, then over the tasks. The most frequent pairs
    of each shard are known to all tasks and need no journey, so that pairs of very many documents burden no shard.
    Of any other pair a shard gets four bytes a document and occurrence, read as a stream.
 4. A document is kept if its perplexity per byte is at most ``SLACK`` times the ``QUANTILE`` of its language's
@@ -246,7 +246,7 @@ def pair_counts(trusted: DataFrame, number: dict[bytes, int]) -> DataFrame:
     shared = trusted.sparkSession.sparkContext.broadcast(number)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for _, first, second, _ in _numbered((utf8(b.column(0)) for b in batches), shared.value, 2 * PACKED_WORDS, 1 << 30):
+        for _, first, second, _ in _numbered((utf8(b.column(0)) for b in batches), shared.value, PACKED_WORDS, 1 << 30):
             # a text without words has no pair
             said = (first != START) | (second != END)
             yield rows(_packs(*_split(*np.unique(_scrambled(first[said], second[said]), return_counts=True))))
@@ -386,6 +386,7 @@ _ROWS = T.StructType(
     [
         T.StructField("shard", T.IntegerType()),
         T.StructField("kind", T.IntegerType()),
+        T.StructField("first", T.LongType()),
         T.StructField("row", T.LongType()),
         T.StructField("doc_id", T.LongType()),
         T.StructField("lang", T.StringType()),
@@ -394,8 +395,8 @@ _ROWS = T.StructType(
         T.StructField("pack", T.BinaryType()),
     ]
 )
-_ARROW = [pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.float64(), pa.binary()]
-_COUNTS, _PAIRS, _DOCUMENT = 0, 1, 2
+_ARROW = [pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.float64(), pa.binary()]
+_COUNTS, _PAIRS, _SUMS, _DOCUMENT = 0, 1, 2, 3
 
 
 def _batch(n: int, **columns) -> pa.RecordBatch:
@@ -403,8 +404,8 @@ def _batch(n: int, **columns) -> pa.RecordBatch:
 
 
 def _sent(documents: DataFrame, model: Model) -> DataFrame:
-    """Rows of kind _DOCUMENT (what needs no shard) and of kind _PAIRS (a pack of documents' pairs for one shard; ``row``
-    is the first of these documents, which stand one after another)."""
+    """Rows of kind _DOCUMENT (what needs no shard) and of kind _PAIRS (the pairs that a pack of documents has for one
+    shard). ``first`` is the first row of the pack, whose rows stand one after another."""
     shared = documents.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -443,20 +444,19 @@ def _sent(documents: DataFrame, model: Model) -> DataFrame:
                 total += np.bincount(of, [spelled[w] for w in found], n)
             symbols = [sum(map(len, seq)) + len(seq) for seq in seqs]
             yield _batch(
-                n, shard=(-1 - row % SHARDS).astype(np.int32), kind=np.full(n, _DOCUMENT, np.int32), row=row, doc_id=mine.column(1).combine_chunks(), lang=mine.column(2).combine_chunks(), symbols=symbols, logs=total
+                n, shard=(-1 - row % SHARDS).astype(np.int32), kind=np.full(n, _DOCUMENT, np.int32), first=np.full(n, row[0]), row=row, doc_id=mine.column(1).combine_chunks(), lang=mine.column(2).combine_chunks(), symbols=symbols, logs=total
             )
             sent = list(_packs(pairs[~known], place[~known]))
             if sent:
-                yield _batch(len(sent), shard=[s for s, _ in sent], kind=np.full(len(sent), _PAIRS, np.int32), row=np.full(len(sent), row[0]), pack=[d for _, d in sent])
+                yield _batch(len(sent), shard=[s for s, _ in sent], kind=np.full(len(sent), _PAIRS, np.int32), first=np.full(len(sent), row[0]), pack=[d for _, d in sent])
 
     return documents.select("row", "doc_id", "lang", "text").mapInArrow(run, _ROWS)
 
 
 def _looked_up(rows: DataFrame, model: Model) -> DataFrame:
-    """(row, doc_id, lang, symbols, logs): documents, and sums of their pairs from each task."""
+    """Documents as they came, and rows of kind _SUMS: what a task's shards add to the documents of a pack. There are
+    at most as many of these as rows of pairs."""
     shared = rows.sparkSession.sparkContext.broadcast(model)
-    schema = T.StructType(_ROWS[2:7])
-    kinds = _ARROW[2:7]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = shared.value
@@ -464,39 +464,66 @@ def _looked_up(rows: DataFrame, model: Model) -> DataFrame:
         held: dict[int, np.ndarray] = {}
 
         def sums() -> pa.RecordBatch:
-            at = {first: np.flatnonzero(of) for first, of in held.items()}
-            row = np.concatenate([first + places for first, places in at.items()])
-            logs = np.concatenate([held[first][places] for first, places in at.items()])
+            packs = [_sparse(of) for of in held.values()]
+            out = _batch(len(held), kind=np.full(len(held), _SUMS, np.int32), first=list(held), pack=packs)
             held.clear()
-            return pa.RecordBatch.from_arrays([pa.array(row, pa.int64()), *(pa.nulls(len(row), k) for k in kinds[1:4]), pa.array(logs)], names=schema.names)
+            return out
 
         for batch in batches:
             kind = batch.column(1).to_numpy()
             if (kind == _DOCUMENT).any():
-                yield pa.RecordBatch.from_arrays(batch.filter(pa.array(kind == _DOCUMENT)).columns[2:7], names=schema.names)
+                yield batch.filter(pa.array(kind == _DOCUMENT))
             for i in np.flatnonzero(kind != _DOCUMENT).tolist():
-                shard = batch.column(0)[i].as_py()
+                shard, data = batch.column(0)[i].as_py(), batch.column(8)[i].as_py()
                 if shard != here:
                     here, keys, gains = shard, np.empty(0, np.uint32), np.empty(0)
-                data = batch.column(7)[i].as_py()
                 if kind[i] == _COUNTS:
                     keys, n = _counted(data)
                     gains = model.gain(_whole(shard, keys), n)
-                    continue
-                if not len(keys):
-                    continue
-                low, place = _unpacked(data)
-                at = np.minimum(np.searchsorted(keys, low), len(keys) - 1)
-                seen = keys[at] == low
-                first = batch.column(2)[i].as_py()
-                of = held.setdefault(first, np.zeros(PACKED_DOCS))
-                np.add.at(of, place[seen], gains[at[seen]])
-                if len(held) > HELD_PACKS:
-                    yield sums()
+                elif len(keys):
+                    low, place = _unpacked(data)
+                    at = np.minimum(np.searchsorted(keys, low), len(keys) - 1)
+                    seen = keys[at] == low
+                    np.add.at(held.setdefault(batch.column(2)[i].as_py(), np.zeros(PACKED_DOCS)), place[seen], gains[at[seen]])
+                    if len(held) > HELD_PACKS:
+                        yield sums()
         if held:
             yield sums()
 
-    return rows.repartition("shard").sortWithinPartitions("shard", "kind", "row").mapInArrow(run, schema)
+    return rows.repartition("shard").sortWithinPartitions("shard", "kind", "first").mapInArrow(run, _ROWS)
+
+
+def _sparse(of: np.ndarray) -> bytes:
+    places = np.flatnonzero(of)
+    return places.astype(np.uint16).tobytes() + of[places].tobytes()
+
+
+def _added_up(found: DataFrame) -> DataFrame:
+    """(doc_id, lang, symbols, logs): the sums of a pack come before its documents."""
+    schema = T.StructType(_ROWS[4:8])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        here, total = None, np.zeros(PACKED_DOCS)
+        for batch in batches:
+            kind, first = batch.column(1).to_numpy(), batch.column(2).to_numpy()
+            documents = np.flatnonzero(kind == _DOCUMENT)
+            logs = np.zeros(batch.num_rows)
+            logs[documents] = batch.column(7).to_numpy(zero_copy_only=False)[documents]
+            row = batch.column(3).to_numpy(zero_copy_only=False)
+            cuts = np.flatnonzero(np.append(True, first[1:] != first[:-1]))
+            for start, end in zip(cuts.tolist(), [*cuts[1:].tolist(), len(first)]):
+                if first[start] != here:
+                    here, total = first[start], np.zeros(PACKED_DOCS)
+                sums = start + int(np.count_nonzero(kind[start:end] == _SUMS))
+                for i in range(start, sums):
+                    data = batch.column(8)[i].as_py()
+                    n = len(data) // 10
+                    total[np.frombuffer(data, np.uint16, n)] += np.frombuffer(data, np.float64, n, 2 * n)
+                logs[sums:end] += total[(row[sums:end] - here).astype(np.int64)]
+            mine = pa.array(documents)
+            yield pa.RecordBatch.from_arrays([*(batch.column(i).take(mine) for i in (4, 5, 6)), pa.array(logs[documents])], names=schema.names)
+
+    return found.repartition("first").sortWithinPartitions("first", "kind").mapInArrow(run, schema)
 
 
 def score(documents: DataFrame, labels: DataFrame, vocabulary: int = VOCABULARY) -> DataFrame:
@@ -507,9 +534,8 @@ def score(documents: DataFrame, labels: DataFrame, vocabulary: int = VOCABULARY)
     trusted = documents.select("doc_id", "text").join(known, "doc_id", "left_semi").where(~held_out(F.col("doc_id")))
     model, pairs = fit(trusted, vocabulary)
     docs = documents.select("doc_id", F.coalesce("lang", F.lit("")).alias("lang"), "text").withColumn("row", F.monotonically_increasing_id())
-    counts = pairs.select("shard", F.lit(_COUNTS).alias("kind"), *(F.lit(None).cast(f.dataType).alias(f.name) for f in _ROWS[2:7]), "pack")
-    found = _looked_up(_sent(docs, model).unionByName(counts), model)
-    out = found.groupBy("row").agg(*(F.max(c).alias(c) for c in ("doc_id", "lang", "symbols")), F.sum("logs").alias("logs"))
+    counts = pairs.select("shard", F.lit(_COUNTS).alias("kind"), *(F.lit(None).cast(f.dataType).alias(f.name) for f in _ROWS[2:8]), "pack")
+    out = _added_up(_looked_up(_sent(docs, model).unionByName(counts), model))
     out = out.select("doc_id", "lang", "symbols", F.when(F.col("symbols") > 0, F.round(F.exp(-F.col("logs") / F.col("symbols")), 9)).alias("perplexity"))
     ids = small(trusted_ids.withColumnRenamed("doc_id", "__trusted"))
     out = out.join(ids, F.col("doc_id") == F.col("__trusted"), "left")
