@@ -5,6 +5,7 @@ from __future__ import annotations
 import atexit
 import tempfile
 import uuid
+from collections.abc import Iterable
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -51,6 +52,20 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
+def free_names(columns: Iterable[str], *names: str) -> list[str]:
+    """``names``, or where a column has one (in any case) the first of name_2, name_3, ... that none has."""
+    taken = {c.lower() for c in columns}
+    out = []
+    for name in names:
+        n, found = 1, name
+        while found.lower() in taken:
+            n += 1
+            found = f"{name}_{n}"
+        taken.add(found.lower())
+        out.append(found)
+    return out
+
+
 _scratch: list[tuple[SparkSession, str]] = []
 
 
