@@ -212,35 +212,44 @@ def _like(entity: Column, stream: Column, kept: Column, attempt: Column, hexadec
 def _syllabic(key: str, what: str, word: Column, gender: Column, attempt: Column, ending: bool) -> Column:
     """A made-up word in the script of ``word``; later attempts are longer, so there is always another one. A script
     without a table of syllables draws from the word's own letters."""
-    seed = _stream(key, F.lit(what), gender if ending else F.lit(""), F.lower(word), attempt.cast("string"))
-    table, end = _characters(F.regexp_replace(F.lower(word), r"[^\p{L}\p{M}]", "")), F.lit("")
-    for script, syllables in _SYLLABLES.items():
-        written = word.rlike(rf"^\p{{Is{script}}}")
-        table = F.when(written, F.array(*map(F.lit, syllables))).otherwise(table)
-        ends = _ENDINGS[script]
-        end = F.when(written, F.when(gender == "f", ends["f"]).when(gender == "m", ends["m"]).otherwise(ends["n"])).otherwise(end)
+
+    def chosen(x: Column) -> Column:
+        seed = _stream(key, F.lit(what), x["g"], F.lower(x["w"]), x["n"].cast("string"))
+        table = _characters(F.regexp_replace(F.lower(x["w"]), r"[^\p{L}\p{M}]", ""))
+        ends = F.array(F.lit(""), F.lit(""), F.lit(""))
+        for script, syllables in _SYLLABLES.items():
+            written = x["w"].rlike(rf"^\p{{Is{script}}}")
+            table = F.when(written, F.array(*map(F.lit, syllables))).otherwise(table)
+            ends = F.when(written, F.array(*(F.lit(_ENDINGS[script][g]) for g in "fmn"))).otherwise(ends)
+        end = F.element_at(ends, F.when(x["g"] == "f", 1).when(x["g"] == "m", 2).otherwise(3)) if ending else F.lit("")
+        return _let(F.struct(seed.alias("s"), table.alias("t"), x["n"].alias("n"), x["w"].alias("w"), end.alias("e")), made)
 
     def made(x: Column) -> Column:
-        parts = F.transform(F.sequence(F.lit(0), x["n"]), lambda i: F.get(x["t"], _drawn(x["s"], i, F.greatest(F.size(x["t"]), F.lit(1)))))
-        drawn = F.initcap(F.concat(F.array_join(parts, ""), end) if ending else F.array_join(parts, ""))
-        return F.when((word == F.upper(word)) & (F.length(word) > 1), F.upper(drawn)).otherwise(drawn)
+        parts = F.transform(F.sequence(F.lit(0), x["n"] + (1 if ending else 2)), lambda i: F.get(x["t"], _drawn(x["s"], i, F.greatest(F.size(x["t"]), F.lit(1)))))
+        drawn = F.initcap(F.concat(F.array_join(parts, ""), x["e"]))
+        return F.when((x["w"] == F.upper(x["w"])) & (F.length(x["w"]) > 1), F.upper(drawn)).otherwise(drawn)
 
-    return _let(F.struct(seed.alias("s"), table.alias("t"), (attempt + (1 if ending else 2)).alias("n")), made)
+    return _let(F.struct(word.alias("w"), (gender if ending else F.lit("")).alias("g"), attempt.alias("n")), chosen)
 
 
 def _given_made(key: str, word: Column, gender: Column, attempt: Column) -> Column:
     """A given name, or the initial of one."""
-    initial = word.rlike(r"^\p{Lu}\.$")
-    made = _syllabic(key, "given", F.replace(word, F.lit("."), F.lit("")), gender, attempt, True)
-    return F.when(initial, F.concat(F.upper(F.substring(made, 1, 1)), F.lit("."))).otherwise(made)
+
+    def of(x: Column) -> Column:
+        made = _syllabic(key, "given", F.replace(x["w"], F.lit("."), F.lit("")), x["g"], x["n"], True)
+        return _let(made, lambda m: F.when(x["w"].rlike(r"^\p{Lu}\.$"), F.concat(F.upper(F.substring(m, 1, 1)), F.lit("."))).otherwise(m))
+
+    return _let(F.struct(word.alias("w"), gender.alias("g"), attempt.alias("n")), of)
 
 
 def surrogate(entity: Column, kind: Column, attempt_of, key: str = KEY) -> Column:
     """The replacement of one entity. ``attempt_of`` gives the attempt of (kind, canonical form)."""
 
     def of(x: Column) -> Column:
-        own = canonical(x["k"], x["e"])
-        return _let(F.struct(x["e"].alias("e"), x["k"].alias("k"), own.alias("o"), attempt_of(x["k"], own).alias("a")), drawn)
+        return _let(F.struct(x["e"].alias("e"), x["k"].alias("k"), canonical(x["k"], x["e"]).alias("o")), tried)
+
+    def tried(x: Column) -> Column:
+        return _let(F.struct(x["e"].alias("e"), x["k"].alias("k"), x["o"].alias("o"), attempt_of(x["k"], x["o"]).alias("a")), drawn)
 
     def drawn(x: Column) -> Column:
         seeded = F.struct(x["e"].alias("e"), x["k"].alias("k"), x["a"].alias("a"), _stream(key, x["k"], x["o"], x["a"].cast("string")).alias("s"))
@@ -270,11 +279,14 @@ def _made(entity: Column, k: Column, attempt: Column, stream: Column, attempt_of
 
 
 def _name_made(key: str, words: Column, attempt: Column, attempt_of) -> Column:
-    gender = _gender(words)
-    family = _syllabic(key, "family", F.element_at(words, -1), F.lit("n"), attempt, False)
-    given = F.transform(_given(words), lambda w: _given_made(key, F.substring(w, F.lit(3), F.length(w)), gender, attempt_of(F.lit("given"), F.lower(w))))
-    title = F.when(_titled(words), F.slice(words, 1, 1)).otherwise(F.array().cast("array<string>"))
-    return F.array_join(F.concat(title, given, F.array(family)), " ")
+    def of(x: Column) -> Column:
+        family = _syllabic(key, "family", F.element_at(x["w"], -1), F.lit("n"), attempt, False)
+        begin = F.when(x["t"], 2).otherwise(1)
+        given = F.transform(F.slice(x["w"], begin, F.greatest(F.size(x["w"]) - begin, F.lit(0))), lambda w: _given_made(key, w, x["g"], attempt_of(F.lit("given"), F.lower(F.concat(x["g"], F.lit(":"), w)))))
+        title = F.when(x["t"], F.slice(x["w"], 1, 1)).otherwise(F.array().cast("array<string>"))
+        return F.array_join(F.concat(title, given, F.array(family)), " ")
+
+    return _let(F.struct(words.alias("w"), _gender(words).alias("g"), _titled(words).alias("t")), of)
 
 
 def _checked_card(made: Column) -> Column:
