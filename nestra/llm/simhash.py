@@ -7,10 +7,10 @@ The grid's cells are those agreeing counts: a fingerprint enters one cell for ea
 groups, pairs meet within cells, and whatever passes the Manhattan bound is verified on the bits.
 
 Exact copies collapse to one fingerprint before anything is joined. ``blocks`` follows from the number of
-different fingerprints, so that a cell holds a few of them at any corpus size. Of a cell the links kept are a
-spanning forest (enough for components), never all pairs. A cell of more than ``CELL`` fingerprints is counted
-beforehand and its members take a finer grid instead: 16 exact 4-bit blocks of which 13 agree, whose cells
-cannot hold more than 4,096 fingerprints. No pair is lost in either.
+different fingerprints, so that a cell holds a few of them at any corpus size. Cells are read as one sorted stream;
+of a cell the links kept are a spanning forest (enough for components), never all pairs. A cell of more than ``CELL``
+fingerprints is not compared: its members enter the grid of a finer embedding, the counts of one-bit segments, in 16
+groups of four of which 13 agree. Such a cell cannot hold more than 4,096 fingerprints. No pair is lost in either.
 
 Cases: a null or empty text has no shingles and the fingerprint zero, which links like any other; fewer words
 than a shingle make one shingle of all of them. Rows that share a doc_id count row by row; a null doc_id takes
@@ -32,7 +32,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import release, small, space_words, stored, utf8
+from .common import free_names, release, small, space_words, stored, utf8
 from .components import components
 
 SHINGLE, SEED, BITS = 3, 42, 3
@@ -60,10 +60,8 @@ def fingerprint(data: bytes) -> int:
 
 def fingerprints(documents: DataFrame, *columns: str, name: str = "fp") -> DataFrame:
     """``columns`` of the documents and their fingerprint (long) as ``name``."""
-    kept = documents.select(*columns, F.col("text").alias("__text"))
-    if "text" in columns:
-        kept = documents.select(*columns)
-    at = kept.columns.index("text") if "text" in columns else len(columns)
+    kept = documents.select(*columns, *(() if "text" in columns else ("text",)))
+    at = kept.columns.index("text")
     schema = T.StructType([documents.schema[c] for c in columns] + [T.StructField(name, T.LongType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -82,13 +80,11 @@ def blocks_for(n: int, k: int = BITS) -> int:
     return 16
 
 
-def _cells(fp: Column, masks: list[int], counts: bool) -> Column:
-    """A cell key per choice of blocks: the choice's number and the segment counts (or bits) under its mask."""
-    if counts:  # two bits hold a segment's count: 00, 01 or 10
-        odd = F.lit(0x5555555555555555)
-        low, high = fp.bitwiseAND(odd), F.shiftrightunsigned(fp, 1).bitwiseAND(odd)
-        fp = low.bitwiseXOR(high).bitwiseOR(F.shiftleft(low.bitwiseAND(high), 1))
-    return F.array(*(F.struct(F.lit(i).cast("short").alias("c"), fp.bitwiseAND(F.lit(m)).alias("v")) for i, m in enumerate(masks)))
+def _counts(fp: Column) -> Column:
+    """The 32 counts of two-bit segments, two bits each: 00, 01 or 10."""
+    odd = F.lit(0x5555555555555555)
+    low, high = fp.bitwiseAND(odd), F.shiftrightunsigned(fp, 1).bitwiseAND(odd)
+    return low.bitwiseXOR(high).bitwiseOR(F.shiftleft(low.bitwiseAND(high), 1))
 
 
 def _masks(blocks: int, k: int, width: int) -> list[int]:
@@ -132,38 +128,67 @@ def _manhattan(many: np.ndarray, one: np.uint64) -> np.ndarray:
     return np.bitwise_count(ones).astype(np.int64) + 2 * np.bitwise_count(twos)
 
 
-def _link_cells(k: int):
+def _link_cells(masks: list[int], width: int, k: int, cell: int | None):
+    """Rows (choice, fp) that are sorted by cell to links. Of a cell of more than ``cell`` members each comes out as a
+    row without b instead."""
+    of = np.array(masks, np.int64).view(np.uint64)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        open_key, held, size, crowded = None, [], 0, False
+
+        def close() -> tuple[list[int], list[int]]:
+            if crowded or size < 2:
+                return [], []
+            pairs = list(_forest(np.concatenate(held), k))
+            return [x for x, _ in pairs], [y for _, y in pairs]
+
         for batch in batches:
-            a, b = [], []
-            column = batch.column(0)
-            flat, offsets = column.values.to_numpy(zero_copy_only=False), column.offsets.to_numpy()
-            for start, end in zip(offsets[:-1].tolist(), offsets[1:].tolist()):
-                for x, y in _forest(flat[start:end], k):
-                    a.append(x)
-                    b.append(y)
+            a: list[int] = []
+            b: list[int | None] = []
+            c, fp = batch.column(0).to_numpy().astype(np.int64), batch.column(1).to_numpy()
+            bits = fp.view(np.uint64)
+            value = ((bits & _EVEN) + ((bits >> np.uint64(1)) & _EVEN) if width == 2 else bits) & of[c]
+            cuts = np.flatnonzero((c[1:] != c[:-1]) | (value[1:] != value[:-1])) + 1
+            starts, ends = np.append(0, cuts), np.append(cuts, len(c))
+            # cells of one member are done unless they are the first or the last of the batch
+            full = np.flatnonzero(ends - starts > 1)
+            for i in np.unique(np.concatenate([[0], full, [len(starts) - 1]])).tolist():
+                key, part = (int(c[starts[i]]), int(value[starts[i]])), fp[starts[i] : ends[i]]
+                if key != open_key:
+                    x, y = close()
+                    a += x
+                    b += y
+                    open_key, held, size, crowded = key, [], 0, False
+                size += len(part)
+                if not crowded:
+                    held.append(part)
+                if cell and size > cell:
+                    a += np.concatenate(held).tolist() if not crowded else part.tolist()
+                    held, crowded = [], True
+                    b += [None] * (len(a) - len(b))
             yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
+        x, y = close()
+        yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()), pa.array(y, pa.int64())], names=["a", "b"])
 
     return run
 
 
-def links(fps: DataFrame, k: int = BITS, blocks: int | None = None, cell: int = CELL) -> DataFrame:
-    """Different fingerprints (column ``fp``) to links (a, b) that join the same fingerprints as all pairs within k."""
-    masks = _masks(blocks or blocks_for(fps.count(), k), k, 2)
-    celled = fps.select("fp", F.explode(_cells(F.col("fp"), masks, True)).alias("cell")).select("fp", "cell.c", "cell.v")
-    crowded = stored(celled.groupBy("c", "v").count().where(F.col("count") > cell).select("c", "v"))
-    link_cells = _link_cells(k)
+def _linked(fps: DataFrame, blocks: int, width: int, k: int, cell: int | None) -> DataFrame:
+    masks = _masks(blocks, k, width)
+    counts = _counts(F.col("fp")) if width == 2 else F.col("fp")
+    value = F.get(F.array(*map(F.lit, masks)), F.col("c")).bitwiseAND(counts)
+    celled = fps.select(F.explode(F.sequence(F.lit(0), F.lit(len(masks) - 1))).alias("c"), "fp")
+    # a cell's value is not sent: it follows from the choice of groups and the fingerprint
+    return celled.repartition("c", value).sortWithinPartitions("c", value).mapInArrow(_link_cells(masks, width, k, cell), _LINK)
 
-    def linked(celled: DataFrame) -> DataFrame:
-        cells = celled.groupBy("c", "v").agg(F.collect_list("fp").alias("fps")).where(F.size("fps") > 1)
-        return cells.select("fps").mapInArrow(link_cells, _LINK)
 
+def links(fps: DataFrame, k: int = BITS, blocks: int | None = None, cell: int = CELL) -> DataFrame:
+    """Different fingerprints (column ``fp``) to links (a, b) that join the same fingerprints as all pairs within k."""
+    found = stored(_linked(fps, blocks or blocks_for(fps.count(), k), 2, k, cell))
+    crowded = found.where("b is null").select(F.col("a").alias("fp")).distinct()
     if not crowded.limit(1).count():
-        return linked(celled)
-    crowd = small(crowded)
-    inside = celled.join(crowd, ["c", "v"], "left_semi").select("fp").distinct()
-    finer = inside.select("fp", F.explode(_cells(F.col("fp"), _masks(16, k, 4), False)).alias("cell")).select("fp", "cell.c", "cell.v")
-    return linked(celled.join(crowd, ["c", "v"], "left_anti")).union(linked(finer))
+        return found
+    return found.where("b is not null").unionByName(_linked(crowded, 16, 4, k, None))
 
 
 def near_duplicates(documents: DataFrame, k: int = BITS) -> DataFrame:
@@ -188,26 +213,29 @@ def _named(marked: DataFrame, k: int) -> DataFrame:
 def deduplicate(documents: DataFrame, k: int = BITS) -> DataFrame:
     """``documents`` with one row of each component: its smallest doc_id. All columns are kept as they are.
 
-    What is dropped is looked up, not what stays: the table of dropped (doc_id, fp) is broadcast if it is small.
-    Rows that agree in doc_id and fingerprint are repeats of one document; one of them stays. Rows of one doc_id
-    (or of none) in different components are different documents and all stay.
+    Fingerprints are worked out once and written beside the documents. What is dropped is looked up, not what stays:
+    the table of dropped (doc_id, fingerprint) is broadcast if it is small. Rows that agree in doc_id and fingerprint
+    are repeats of one document; one of them stays. Rows of one doc_id (or of none) in different components are
+    different documents and all stay.
     """
-    marked = stored(fingerprints(documents, "doc_id"))
+    fp, gone_id, gone_fp = free_names(documents.columns, "fingerprint", "gone_id", "gone_fingerprint")
+    full = stored(fingerprints(documents, *documents.columns, name=fp))
+    marked = full.select("doc_id", F.col(fp).alias("fp"))
     named = stored(marked.join(_named(marked, k), "fp"))
     first = F.col("doc_id").eqNullSafe(F.col("component_id"))
     heads = stored(named.where(first).groupBy("doc_id", "fp", "root").agg(F.count(F.lit(1)).alias("n")))
     # the smallest doc_id of a component may have several fingerprints in it: the smallest of these stays
     several = heads.groupBy("root").agg(F.min("fp").alias("stays"), F.count(F.lit(1)).alias("fps")).where("fps > 1").select("root", "stays")
     surplus = heads.join(small(stored(several)), "root").where("fp <> stays").select("doc_id", "fp")
-    gone = small(stored(named.where(~first).select("doc_id", "fp").union(surplus).distinct()).toDF("__id", "__fp"))
-    full = fingerprints(documents, *documents.columns, name="__full")
-    match = full["doc_id"].eqNullSafe(gone["__id"]) & (full["__full"] == gone["__fp"])
-    kept = full.join(gone, match, "left_anti")
+    gone = stored(named.where(~first).select("doc_id", "fp").union(surplus).distinct())
     again = stored(heads.where("n > 1").select("doc_id", "fp"))
-    if not again.limit(1).count():
-        return kept.drop("__full")
-    twice = small(again.toDF("__id", "__fp"))
-    same = kept["doc_id"].eqNullSafe(twice["__id"]) & (kept["__full"] == twice["__fp"])
-    once = kept.join(twice, same, "left_anti")
-    repeated = kept.join(twice, same, "left_semi").dropDuplicates(["doc_id", "__full"])
-    return once.unionByName(repeated).drop("__full")
+
+    def of(some: DataFrame) -> tuple[DataFrame, Column]:
+        few = small(some.toDF(gone_id, gone_fp))
+        return few, F.col("doc_id").eqNullSafe(F.col(gone_id)) & (F.col(fp) == F.col(gone_fp))
+
+    kept = full.join(*of(gone), "left_anti")
+    if again.limit(1).count():
+        once = kept.join(*of(again), "left_anti")
+        kept = once.unionByName(kept.join(*of(again), "left_semi").dropDuplicates(["doc_id", fp]))
+    return kept.select(*documents.columns)
