@@ -1,8 +1,9 @@
 """Media columns in Ogg: write and read pages, packets and logical streams.
 
 ``pages_of`` and ``mux`` write; ``demux`` reads: it verifies each page's checksum, reassembles packets from lacing
-values (packets may span pages), sorts them into their logical streams and gives every packet the time that its
-page's granule position says. Pages that fail their checksum are counted and skipped; a packet with a missing
+values (packets may span pages), sorts them into their logical streams and gives every packet the time at which it
+ends: a page's granule position is that of the last packet that ends on it, and those before end earlier by the
+samples of the packets after them. Pages that fail their checksum are counted and skipped; a packet with a missing
 part is dropped, and reading goes on at the next capture pattern.
 
 ``store`` keeps a payload of bytes losslessly: 8-bit samples in blocks that alternate between two logical
@@ -17,7 +18,7 @@ from __future__ import annotations
 import hashlib
 import struct
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -84,7 +85,7 @@ def mux(streams: list[list[bytes]]) -> bytes:
 
 @dataclass
 class Logical:
-    """A logical stream as read: packets, and the seconds at which each ends (None before the granule is known)."""
+    """A logical stream as read: packets, and the seconds at which each ends (None on a page that has no granule position)."""
 
     packets: list[bytes] = field(default_factory=list)
     seconds: list[float | None] = field(default_factory=list)
@@ -92,8 +93,13 @@ class Logical:
     ended: bool = False
 
 
-def demux(data: bytes, rate: int = RATE) -> tuple[dict[int, Logical], int]:
-    """Logical streams by serial number, and the number of bad pages."""
+def samples_of(packet: bytes) -> int:
+    """Samples of a packet of :func:`store`: one a byte, none in the head."""
+    return 0 if len(packet) == _MAGIC.size and packet.startswith(_NAME) else len(packet)
+
+
+def demux(data: bytes, rate: int = RATE, samples: Callable[[bytes], int] = samples_of) -> tuple[dict[int, Logical], int]:
+    """Logical streams by serial number, and the number of bad pages. ``samples`` is the codec's length of a packet."""
     streams: dict[int, Logical] = {}
     parts: dict[int, list[bytes] | None] = {}
     expected: dict[int, int] = {}
@@ -129,9 +135,12 @@ def demux(data: bytes, rate: int = RATE) -> tuple[dict[int, Logical], int]:
             parts[serial] = None if skip else [*(held or []), data[began:cursor]]
         else:
             parts[serial] = None
-        for i, packet in enumerate(complete):
-            stream.packets.append(packet)
-            stream.seconds.append(granule / rate if granule >= 0 and i == len(complete) - 1 else None)
+        ends, upto = [], granule
+        for packet in reversed(complete):
+            ends.append(upto / rate if granule >= 0 else None)
+            upto = max(0, upto - samples(packet))
+        stream.packets += complete
+        stream.seconds += reversed(ends)
         at = end
     return streams, bad
 
