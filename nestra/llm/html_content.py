@@ -17,8 +17,9 @@ import html
 import math
 import random
 import re
-from collections import Counter, defaultdict
+from collections import defaultdict
 from collections.abc import Iterable, Iterator
+from functools import lru_cache
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -26,8 +27,8 @@ from pyspark.sql import types as T
 
 # Element classes of HTML.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = frozenset("script style textarea title noscript template iframe xmp noembed noframes svg math select".split())
-INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q s samp small span strike strong sub sup time tt u var wbr img ruby rt rp".split())
+RAW = frozenset("script style textarea title noscript template iframe xmp noembed noframes svg select annotation annotation-xml".split())
+INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q s samp small span strike strong sub sup time tt u var wbr img ruby rt rp math mrow mi mn mo ms mtext mfrac msqrt mroot msup msub msubsup munder mover munderover mstyle semantics".split())
 CLOSES_P = frozenset(
     "address article aside blockquote details div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr main menu nav ol p pre section table ul".split()
 )
@@ -74,67 +75,84 @@ def parse(page: str) -> tuple[list[Node], list[tuple[Node, str]]]:
     root = Node("#page", None)
     nodes, pieces = [root], []
     open_: list[tuple[str, Node]] = [("#page", root)]  # inline elements stand here with their block
-    at = 0
+    at: dict[str, list[int]] = defaultdict(list)  # where the open elements of each name stand in it
+    blocks = [0]  # where the open blocks stand
+    links = 0  # open links
 
-    def text(raw: str, links: bool) -> None:
+    def text(raw: str) -> None:
         if raw:
             said = html.unescape(raw) if "&" in raw else raw
             block = open_[-1][1]
             pieces.append((block, said))
             n = len(said.strip())
-            while block is not None:
-                block.chars += n
-                block.links += n * links
-                block = block.parent
+            block.chars += n
+            block.links += n * (links > 0)
 
     def close(upto: int) -> None:
-        if any(name not in INLINE for name, _ in open_[upto:]):
+        nonlocal links
+        if blocks[-1] >= upto:
             pieces.append((open_[-1][1], _BLOCK_END))
+        for name, _ in reversed(open_[upto:]):
+            at[name].pop()
+            links -= name == "a"
+        while blocks[-1] >= upto:
+            blocks.pop()
         del open_[upto:]
 
-    in_link = lambda: any(name == "a" for name, _ in open_)
-    while (m := _TAG.search(page, at)) is not None:
-        text(page[at : m.start()], in_link())
-        at = m.end()
+    def highest(names: Iterable[str]) -> int:
+        return max((at[n][-1] for n in names if at[n]), default=0)
+
+    cursor, last = 0, page.rfind(">")
+    while cursor <= last and (m := _TAG.search(page, cursor)) is not None:  # behind the last > there is no tag
+        text(page[cursor : m.start()])
+        cursor = m.end()
         if not m[2]:
             continue
         tag = m[2].lower()
         if m[1]:
-            for i in range(len(open_) - 1, 0, -1):
-                if open_[i][0] == tag:
-                    close(i)
-                    break
-                if tag in INLINE and open_[i][0] not in INLINE:
-                    break
+            # an end tag closes the nearest such element; one of an inline element does not reach out of its block
+            if at[tag] and not (tag in INLINE and at[tag][-1] < blocks[-1]):
+                close(at[tag][-1])
             continue
         if tag == "br" or tag == "hr":
             pieces.append((open_[-1][1], _BLOCK_END))
         if tag in VOID:
             continue
         if tag in RAW:
-            end = re.compile(rf"</{re.escape(tag)}\b[^>]*>", re.I).search(page, at)
-            at = end.end() if end else len(page)
+            end = _end_of(tag).search(page, cursor)
+            cursor = end.end() if end else len(page)
             continue
-        stop: tuple[set[str], set[str] | frozenset[str]] | None = ({"p"}, {"table", "td", "th", "button", "object"}) if tag in CLOSES_P else ENDS.get(tag)
-        if stop:
-            for i in range(len(open_) - 1, 0, -1):
-                if open_[i][0] in stop[0]:
-                    close(i)
-                    break
-                if open_[i][0] in stop[1]:
-                    break
+        stop = _IN_P if tag in CLOSES_P else ENDS.get(tag)
+        if stop and highest(stop[0]) > highest(stop[1]):
+            close(highest(stop[0]))
         parent = open_[-1][1]
+        at[tag].append(len(open_))
         if tag in INLINE:
+            links += tag == "a"
             open_.append((tag, parent))
         else:
+            blocks.append(len(open_))
             node = Node(tag, parent, m[3])
             nodes.append(node)
             pieces.append((parent, _BLOCK_END))
             open_.append((tag, node))
-    text(page[at:], in_link())
+    rest = page[cursor:]
+    text(rest if not (cut := _OPEN_COMMENT.search(rest)) else rest[: cut.start()])
+    for node in reversed(nodes[1:]):  # children come after their parents
+        node.parent.chars += node.chars
+        node.parent.links += node.links
     return nodes, pieces
 
 
+_IN_P = ({"p"}, {"table", "td", "th", "button", "object"})
+_OPEN_COMMENT = re.compile("<!--")
+
+
+@lru_cache(maxsize=64)
+def _end_of(tag: str) -> re.Pattern:
+    return re.compile(rf"</{re.escape(tag)}\b[^>]*>", re.I)
+
+
 def features(node: Node) -> Iterator[str]:
     yield f"tag={node.tag}"
     for w in node.words:
