@@ -61,6 +61,55 @@ TEXTS = {
         "neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission",
         ("redistribution and use in source and binary forms", "endorse or promote products derived from this software"),
     ),
+    "bsd-2-clause": (
+        "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met\n"
+        "redistributions in binary form must reproduce the above copyright notice this list of conditions and the following disclaimer in the documentation and or other materials provided with the distribution",
+        ("redistribution and use in source and binary forms", "redistributions in binary form must reproduce the above copyright notice"),
+    ),
+    "gpl-3": (
+        "this program is free software you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation either version 3 of the license or at your option any later version",
+        ("gnu general public license as published by the free software foundation either version 3",),
+    ),
+    "gpl-2": (
+        "this program is free software you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation either version 2 of the license or at your option any later version",
+        ("gnu general public license as published by the free software foundation either version 2",),
+    ),
+    "agpl": (
+        "this program is free software you can redistribute it and or modify it under the terms of the gnu affero general public license as published by the free software foundation either version 3 of the license or at your option any later version",
+        ("gnu affero general public license as published by the free software foundation",),
+    ),
+    "lgpl": (
+        "this library is free software you can redistribute it and or modify it under the terms of the gnu lesser general public license as published by the free software foundation either version 2 1 of the license or at your option any later version",
+        ("gnu lesser general public license as published by the free software foundation",),
+    ),
+    "mpl-2": (
+        "this source code form is subject to the terms of the mozilla public license v 2 0 if a copy of the mpl was not distributed with this file you can obtain one at",
+        ("subject to the terms of the mozilla public license v 2 0",),
+    ),
+    "epl": (
+        "this program and the accompanying materials are made available under the terms of the eclipse public license",
+        ("made available under the terms of the eclipse public license",),
+    ),
+    "bsl-1": (
+        "permission is hereby granted free of charge to any person or organization obtaining a copy of the software and accompanying documentation covered by this license the software to use reproduce display distribute execute and transmit the software and to prepare derivative works of the software",
+        ("to any person or organization obtaining a copy of the software and accompanying documentation covered by this license",),
+    ),
+    "zlib": (
+        "this software is provided as is without any express or implied warranty in no event will the authors be held liable for any damages arising from the use of this software permission is granted to anyone to use this software for any purpose including commercial applications and to alter it and redistribute it freely",
+        ("permission is granted to anyone to use this software for any purpose including commercial applications",),
+    ),
+    "cc0": (
+        "the person who associated a work with this deed has dedicated the work to the public domain by waiving all of his or her rights to the work worldwide under copyright law",
+        ("dedicated the work to the public domain by waiving all of his or her rights",),
+    ),
+    "cc-by": (
+        "this work is licensed under a creative commons attribution 4 0 international license",
+        ("creative commons attribution 4 0 international license",),
+    ),
+    "cc-by-sa": (
+        "this work is licensed under a creative commons attribution sharealike 4 0 international license",
+        ("creative commons attribution sharealike 4 0 international license",),
+    ),
     "isc": (
         "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted provided that the above copyright notice and this permission notice appear in all copies",
         ("for any purpose with or without fee is hereby granted",),
@@ -74,6 +123,8 @@ TEXTS = {
         ("free and unencumbered software released into the public domain",),
     ),
 }
+#: A licence whose text holds all of another's: the other is not reported beside it.
+MORE_THAN = {"bsd-3-clause": "bsd-2-clause"}
 #: Rarest words by which a template is looked up, words that an alignment may be off after an edit, and the part
 #: of a text's words that must stand in the aligned stretch.
 LOOKED_UP, DRIFT, COVERAGE = 4, 6, 0.8
@@ -88,9 +139,20 @@ class Template:
             self.places.setdefault(w, []).append(i)
         self.needs = frozenset(self.words)
         self.mandatory = [Template(label, m) for m in mandatory]
+        self.bits = {w: sum(1 << i for i in at) for w, at in self.places.items()}
         self.passages = [self] if whole or "\n" not in text else [Template(label, p, whole=False) for p in text.split("\n")]
 
 
+    def in_order(self, seq: list[bytes]) -> int:
+        """Length of the longest common subsequence with the template, a machine word of it at a time."""
+        every = (1 << len(self.words)) - 1
+        open_ = every
+        for w in seq:
+            if hit := open_ & self.bits.get(w, 0):
+                open_ = ((open_ + hit) | (open_ - hit)) & every
+        return len(self.words) - open_.bit_count()
+
+
 class Index:
     """Templates and the inverse document frequency of their words."""
 
@@ -142,6 +204,7 @@ class Index:
                 if covered >= COVERAGE:
                     labels.add(t.label)
                     score = max(score, covered)
+        labels -= {less for more, less in MORE_THAN.items() if more in labels and less not in base}
         return starts, base, labels, min(1.0, score)
 
     def _phrase(self, t: Template, seq: list[bytes], places) -> list[int]:
@@ -159,20 +222,18 @@ class Index:
         return sorted(s for s in starts or () if s >= 0 and seq[s : s + n] == t.words)
 
     def _cover(self, t: Template, seq: list[bytes], present: frozenset, places) -> float:
-        """Largest part of the template's words that stand in one stretch of the file, near their alignment."""
+        """Largest part of the template's words that stand in order in one stretch of the file, near their alignment."""
         looked_up = sorted(t.needs & present, key=self._weight, reverse=True)[:LOOKED_UP]
         votes: Counter[int] = Counter()
         for w in looked_up:
             for near in {(i - p) // DRIFT + d for i in places(w) for p in t.places[w] for d in (0, 1)}:
                 votes[near] += 1
-        best = 0.0
-        n = len(t.words)
+        best, n = 0, len(t.words)
         for near, count in votes.items():
             if count * 2 >= len(looked_up):
                 start = max(0, (near - 2) * DRIFT)
-                stretch = Counter(seq[start : start + n + 3 * DRIFT])
-                best = max(best, sum((Counter(t.words) & stretch).values()) / n)
-        return best
+                best = max(best, t.in_order(seq[start : start + n + 3 * DRIFT]))
+        return best / n
 
 
 def frequencies(documents: DataFrame) -> dict[bytes, float]:
