@@ -30,7 +30,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import WORD_TABLE, small, stored, utf8
+from .common import WORD_TABLE, free_names, small, stored, utf8
 
 BUCKETS = 1 << 16
 #: Labelled documents a language that fit the text model, about; of a language with fewer, all.
@@ -180,7 +180,12 @@ def _table(counts: DataFrame, by: str, names: list[str], every: np.ndarray, says
 def keep(documents: DataFrame, model: TextModel | None = None, declared: str = "lang", address: str = "source") -> DataFrame:
     """``documents`` without those rejected: of no language known, or of none with at least ``LEAST`` posterior.
     Decisions are per row; those of few rejected are looked up by doc_id and text hash."""
-    marked = documents.withColumn("__mark", F.xxhash64("text", declared, address))
-    found = identify(marked, model, declared, address, ("doc_id", "__mark"))
-    gone = small(stored(found.where(~F.col("kept")).select(F.col("doc_id").alias("__id"), F.col("__mark").alias("__gone")).distinct()))
-    return marked.join(gone, marked["doc_id"].eqNullSafe(gone["__id"]) & (marked["__mark"] == gone["__gone"]), "left_anti").drop("__mark")
+    mark, gone_id, gone_mark = free_names([*documents.columns, *_INNER], "mark", "gone_id", "gone_mark")
+    marked = documents.withColumn(mark, F.xxhash64("text", declared, address))
+    found = identify(marked, model, declared, address, ("doc_id", mark))
+    gone = small(stored(found.where(~F.col("kept")).select(F.col("doc_id").alias(gone_id), F.col(mark).alias(gone_mark)).distinct()))
+    return marked.join(gone, F.col("doc_id").eqNullSafe(F.col(gone_id)) & (F.col(mark) == F.col(gone_mark)), "left_anti").select(*documents.columns)
+
+
+#: Names that :func:`identify` gives its own columns.
+_INNER = ("language", "posterior", "declared", "kept")
