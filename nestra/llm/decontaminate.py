@@ -15,7 +15,7 @@ from __future__ import annotations
 
 import hashlib
 import re
-from collections import defaultdict
+from array import array
 from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
@@ -23,72 +23,108 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import WORD_TABLE, stored, utf8, words
+from .common import WORD_TABLE, free_names, stored, utf8, words
 
 WINDOW = 10
 #: Bytes of item text in one automaton; a larger benchmark is searched in several blocks.
-BLOCK_BYTES = 16 << 20
+BLOCK_BYTES = 4 << 20
+#: States whose windows a worker remembers.
+REMEMBERED = 100_000
 
 
 class SuffixAutomaton:
-    """Generalised suffix automaton of word sequences with the windows that each state completes."""
+    """Generalised suffix automaton of word sequences with the windows that each state completes.
+
+    Nearly all states have one edge and all windows one length: states live in flat arrays, and only those with more
+    edges, or with windows of several lengths, have a dictionary. That is about 130 bytes an item word.
+    """
 
     def __init__(self, items: Iterable[tuple[object, list[bytes]]], window: int = WINDOW):
         items = [(key, seq) for key, seq in items if seq]
         self.number: dict[bytes, int] = {}
-        self.next: list[dict[int, int]] = [{}]
-        self.link, self.length = [-1], [0]
-        coded = [(key, [self.number.setdefault(w, len(self.number)) for w in seq]) for key, seq in items]
-        for _, seq in coded:
+        self.word, self.to = array("q", [-1]), array("q", [0])  # a state's first edge
+        self.more: dict[int, dict[int, int]] = {}
+        self.link, self.length = array("q", [-1]), array("q", [0])
+        coded = [array("q", [self.number.setdefault(w, len(self.number)) for w in seq]) for _, seq in items]
+        for seq in coded:
             last = 0
             for c in seq:
                 last = self._extend(last, c)
-        self._windows: dict[int, dict[int, set]] = defaultdict(lambda: defaultdict(set))
-        for key, seq in coded:
+        self.keys = [key for key, _ in items]
+        # of each state that completes windows: items (by place) of those of ``window`` words, and of shorter ones by length
+        self.whole: dict[int, int | frozenset[int]] = {}
+        self.shorter: dict[int, dict[int, frozenset[int]]] = {}
+        self.window = window
+        for item, seq in enumerate(coded):
             n, state = min(window, len(seq)), 0
             for i, c in enumerate(seq):
-                state = self.next[state][c]
+                state = self.step(state, c)
                 if i + 1 >= n:
                     at = state
                     while self.length[self.link[at]] >= n:
                         at = self.link[at]
-                    self._windows[at][n].add(key)
-        self.shortest = min((min(window, len(seq)) for _, seq in coded), default=0)
-        self._ending: dict[int, list[tuple[int, set]]] = {}
+                    if n == window:
+                        held = self.whole.get(at)
+                        self.whole[at] = item if held is None or held == item else (held if isinstance(held, frozenset) else frozenset((held,))) | {item}
+                    else:
+                        of = self.shorter.setdefault(at, {})
+                        of[n] = of.get(n, frozenset()) | {item}
+        self.shortest = min((min(window, len(seq)) for seq in coded), default=0)
+        # the nearest state on the way of suffix links (itself included) that completes windows, worked out when met
+        self._ending: dict[int, list[tuple[int, frozenset]]] = {}
+
+    def step(self, state: int, c: int) -> int | None:
+        if self.word[state] == c:
+            return self.to[state]
+        of = self.more.get(state)
+        return of.get(c) if of else None
+
+    def _edge(self, state: int, c: int, to: int) -> None:
+        if self.word[state] in (-1, c):
+            self.word[state], self.to[state] = c, to
+        else:
+            self.more.setdefault(state, {})[c] = to
 
-    def _add(self, length: int, link: int, edges: dict[int, int]) -> int:
-        self.length.append(length)
-        self.link.append(link)
-        self.next.append(edges)
-        return len(self.next) - 1
+    def _add(self, length: int, link: int) -> int:
+        for held, value in ((self.length, length), (self.link, link), (self.word, -1), (self.to, 0)):
+            held.append(value)
+        return len(self.length) - 1
 
     def _split(self, p: int, c: int, q: int) -> int:
-        clone = self._add(self.length[p] + 1, self.link[q], dict(self.next[q]))
+        clone = self._add(self.length[p] + 1, self.link[q])
+        self.word[clone], self.to[clone] = self.word[q], self.to[q]
+        if q in self.more:
+            self.more[clone] = dict(self.more[q])
         self.link[q] = clone
-        while p >= 0 and self.next[p].get(c) == q:
-            self.next[p][c] = clone
+        while p >= 0 and self.step(p, c) == q:
+            self._edge(p, c, clone)
             p = self.link[p]
         return clone
 
     def _extend(self, last: int, c: int) -> int:
-        q = self.next[last].get(c)
+        q = self.step(last, c)
         if q is not None:  # another item has this prefix already
             return q if self.length[q] == self.length[last] + 1 else self._split(last, c, q)
-        new, p = self._add(self.length[last] + 1, 0, {}), last
-        while p >= 0 and c not in self.next[p]:
-            self.next[p][c] = new
+        new, p = self._add(self.length[last] + 1, 0), last
+        while p >= 0 and self.step(p, c) is None:
+            self._edge(p, c, new)
             p = self.link[p]
         if p >= 0:
-            q = self.next[p][c]
+            q = self.step(p, c)
             self.link[new] = q if self.length[q] == self.length[p] + 1 else self._split(p, c, q)
         return new
 
-    def _ends(self, state: int) -> list[tuple[int, set]]:
-        """Windows that are suffixes of the state's strings, longest first."""
+    def _ends(self, state: int) -> list[tuple[int, frozenset]]:
+        """Windows that are suffixes of the state's strings, longest first, with their items."""
         if state not in self._ending:
+            if len(self._ending) > REMEMBERED:
+                self._ending.clear()
             found, at = [], state
             while at > 0:
-                found += self._windows.get(at, {}).items()
+                held = self.whole.get(at)
+                if held is not None:
+                    found.append((self.window, held if isinstance(held, frozenset) else frozenset((held,))))
+                found += self.shorter.get(at, {}).items()
                 at = self.link[at]
             self._ending[state] = sorted(found, key=lambda x: -x[0])
         return self._ending[state]
@@ -96,18 +132,19 @@ class SuffixAutomaton:
     def scan(self, seq: list[bytes]) -> tuple[list[tuple[int, int]], set]:
         """Merged [start, end) word spans of all window occurrences, and the keys of the items they are of."""
         spans: list[tuple[int, int]] = []
-        keys: set = set()
-        edges, link, length, shortest = self.next, self.link, self.length, self.shortest
+        items: set[int] = set()
+        word, edge, more, link, length, shortest = self.word, self.to, self.more, self.link, self.length, self.shortest
+        nothing: dict[int, int] = {}
         state = matched = 0
         for i, c in enumerate(map(self.number.get, seq)):
             if c is None:
                 state = matched = 0
                 continue
-            to = edges[state].get(c)
+            to = edge[state] if word[state] == c else more.get(state, nothing).get(c)
             while to is None and state:
                 state = link[state]
                 matched = length[state]
-                to = edges[state].get(c)
+                to = edge[state] if word[state] == c else more.get(state, nothing).get(c)
             if to is None:
                 continue
             state = to
@@ -117,13 +154,13 @@ class SuffixAutomaton:
                 for n, of in self._ends(state):
                     if n <= matched:
                         longest = longest or n
-                        keys |= of
+                        items |= of
                 if longest:
                     start = i + 1 - longest
                     while spans and spans[-1][1] >= start:
                         start = min(start, spans.pop()[0])
                     spans.append((start, i + 1))
-        return spans, keys
+        return spans, {self.keys[k] for k in items}
 
 
 SPAN = T.ArrayType(T.StructType([T.StructField("start", T.LongType()), T.StructField("end", T.LongType())]))
@@ -281,15 +318,16 @@ def scrub(
     return documents.mapInArrow(run, documents.schema)
 
 
-_STATE = [T.StructField("__spans", T.ArrayType(T.LongType())), T.StructField("__total", T.LongType()), T.StructField("__hit", T.LongType()), T.StructField("__cut", T.BooleanType())]
+_STATE = [T.ArrayType(T.LongType()), T.LongType(), T.LongType(), T.BooleanType()]
 
 
 def _scrub_blocks(documents: DataFrame, blocks: list[list[tuple[object, bytes]]], window: int, min_span: int, max_coverage: float) -> DataFrame:
     """:func:`scrub` with the items in several blocks. A round collects the spans of all blocks in one text before
     anything is cut; rows that were cut go into another round, until no block finds a hit in them."""
     spark = documents.sparkSession
-    names = [*documents.columns, *(f.name for f in _STATE)]
-    schema = T.StructType([*documents.schema, *_STATE])
+    own = free_names(documents.columns, "spans", "total", "hit", "cut")
+    names = [*documents.columns, *own]
+    schema = T.StructType([*documents.schema, *(T.StructField(n, t) for n, t in zip(own, _STATE))])
     at, spans_at = documents.columns.index("text"), len(documents.columns)
 
     def find(shared):
@@ -319,16 +357,17 @@ def _scrub_blocks(documents: DataFrame, blocks: list[list[tuple[object, bytes]]]
                 batch = batch.set_column(i, names[i], pa.array(values, batch.column(i).type))
             yield _with_texts(batch, old, new)
 
-    live = documents.selectExpr("*", "cast(array() as array<bigint>) __spans", "0L __total", "0L __hit", "false __cut")
+    start = (F.array().cast(_STATE[0]), F.lit(0).cast("long"), F.lit(0).cast("long"), F.lit(False))
+    live = documents.select("*", *(c.alias(n) for c, n in zip(start, own)))
     shared = [spark.sparkContext.broadcast(_Scanner(block, window)) for block in blocks]
     done = None
     while True:
         for of in shared:
             live = live.mapInArrow(find(of), schema)
         after = stored(live.mapInArrow(apply, schema))
-        rest = after.where("not __cut").select(*documents.columns)
+        rest = after.where(~F.col(own[3])).select(*documents.columns)
         done = rest if done is None else done.union(rest)
-        live = after.where("__cut")
+        live = after.where(F.col(own[3]))
         if not live.limit(1).count():
             return done
 
