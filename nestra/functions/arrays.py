@@ -6,6 +6,7 @@ Ranges that descend are empty, zips truncate, indices start at 0, and an index o
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import partial
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -219,3 +220,109 @@ def search(text: Column, pattern: str) -> Column:
 
 def split_words(text: Column) -> Column:
     return F.filter(F.split(text, r"[ \t\n\r]+"), lambda w: w != "")
+
+
+# --- directed folds and scans: the function need not be associative
+
+
+def fold_left1(f: Callable[[Column, Column], Column], xs: Column) -> Column:
+    return fold1(f, xs)
+
+
+def fold_right1(f: Callable[[Column, Column], Column], xs: Column) -> Column:
+    """``f(x, rest)`` from the last element back, which is the start."""
+    return fold1(lambda a, x: f(x, a), F.reverse(xs))
+
+
+def scan_left(f: Callable[[Column, Column], Column], zero: Column, xs: Column) -> Column:
+    """Element i holds the fold of all before it: exclusive, of the same length."""
+    return scan(f, zero, xs)
+
+
+def scan_left1(f: Callable[[Column, Column], Column], xs: Column) -> Column:
+    return scan_inclusive(f, xs)
+
+
+def scan_right(f: Callable[[Column, Column], Column], zero: Column, xs: Column) -> Column:
+    """Element i holds the fold of all behind it."""
+    return F.reverse(scan(lambda a, x: f(x, a), zero, F.reverse(xs)))
+
+
+def scan_right1(f: Callable[[Column, Column], Column], xs: Column) -> Column:
+    return F.reverse(scan_inclusive(lambda a, x: f(x, a), F.reverse(xs)))
+
+
+# --- prefixes, emptiness, permutations, wider zips
+
+
+def is_empty(xs: Column) -> Column:
+    return F.size(xs) == 0
+
+
+def split_at(n: Column, xs: Column) -> tuple[Column, Column]:
+    return take(n, xs), drop(xs, F.greatest(n.cast("int"), F.lit(0)))
+
+
+def _prefix(p: Callable[[Column], Column], xs: Column) -> Column:
+    """Number of elements before the first that fails."""
+    return F.coalesce(F.get(index_of(lambda x: ~F.coalesce(p(x), F.lit(False)), xs), F.lit(0)), F.size(xs).cast("bigint"))
+
+
+def span(p: Callable[[Column], Column], xs: Column) -> tuple[Column, Column]:
+    return split_at(_prefix(p, xs), xs)
+
+
+def take_while(p: Callable[[Column], Column], xs: Column) -> Column:
+    return span(p, xs)[0]
+
+
+def drop_while(p: Callable[[Column], Column], xs: Column) -> Column:
+    return span(p, xs)[1]
+
+
+def product_array(xs: Column, times: Callable[[Column, Column], Column] = lambda a, x: a * x, one=1.0) -> Column:
+    return F.aggregate(xs, F.lit(one), times)
+
+
+def maximum(xs: Column) -> Column:
+    return F.array_max(xs)
+
+
+def minimum(xs: Column) -> Column:
+    return F.array_min(xs)
+
+
+def enum_from_then_to(a: Column, then: Column, to: Column) -> Column:
+    """a, then, ... up to ``to``, or down to it; empty if ``to`` lies on the other side."""
+    step = then - a
+    some = F.when(step > 0, to >= a).when(step < 0, to <= a).otherwise(F.lit(False))
+    return F.when(some, F.sequence(a, F.when(some, to).otherwise(a), F.when(some, step).otherwise(F.lit(1).cast("bigint")))).otherwise(F.array().cast("array<bigint>"))
+
+
+def permute_default(ix: Column, xs: Column, default: Column) -> Column:
+    """``default`` with xs[i] at position ix[i]; the last write wins."""
+    return update(default, zip_with(lambda i, x: F.struct(i.alias("ix"), x.alias("v")), ix, xs))
+
+
+def permute(ix: Column, xs: Column) -> Column:
+    """``ix`` is a permutation."""
+    return permute_default(ix, xs, xs)
+
+
+def zip_many(*arrays: Column) -> Column:
+    """Structs _1, _2, ... up to the shortest array."""
+    n = F.least(*map(F.size, arrays))
+    return F.transform(_upto(n), lambda i: F.struct(*(F.get(xs, i).alias(f"_{k}") for k, xs in enumerate(arrays, 1))))
+
+
+def unzip_many(tuples: Column, n: int) -> tuple[Column, ...]:
+    return tuple(F.transform(tuples, partial(_part, f"_{k}")) for k in range(1, n + 1))
+
+
+def _part(name: str, t: Column) -> Column:
+    return t[name]
+
+
+def zip_with_many(f: Callable[..., Column], *arrays: Column) -> Column:
+    n = F.least(*map(F.size, arrays))
+    return F.transform(_upto(n), lambda i: f(*(F.get(xs, i) for xs in arrays)))

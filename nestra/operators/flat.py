@@ -11,6 +11,7 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..plans.positions import exclusive_extreme, exclusive_sum, rebase
 
@@ -266,7 +267,13 @@ def sum_array(xs: DataFrame) -> DataFrame:
 
 
 def product_array(xs: DataFrame) -> DataFrame:
-    return fold(F.product, 1, xs)
+    """Integers wrap at 64 bits; reals are multiplied as they are."""
+    from ..functions.scalars import multiply
+    from . import general
+
+    if isinstance(xs.schema["v"].dataType, T.IntegralType):
+        return general.fold(multiply, 1, xs.select("pos", F.col("v").cast("bigint").alias("v")))
+    return fold(F.product, 1.0, xs)
 
 
 def count_equal(xs: DataFrame, value) -> DataFrame:

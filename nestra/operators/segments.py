@@ -11,6 +11,7 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..plans.positions import exclusive_sum, rebase_segments
 
@@ -88,6 +89,13 @@ def count_s(xs: Nested, value) -> DataFrame:
 
 
 def product_s(xs: Nested) -> DataFrame:
+    """Integers wrap at 64 bits; reals are multiplied as they are."""
+    from ..functions.scalars import multiply
+    from . import general
+
+    if isinstance(xs.elems.schema["v"].dataType, T.IntegralType):
+        of = general.fold_s(multiply, 1, xs.elems.select("seg", "pos", F.col("v").cast("bigint").alias("v")))
+        return xs.segs.select("seg").join(of, "seg", "left").select("seg", F.coalesce("v", F.lit(1).cast("bigint")).alias("v"))
     return fold_s(F.product, 1.0, xs)
 
 
@@ -227,6 +235,11 @@ def fold_ss(agg: Callable[[Column], Column], zero, ssegd: DataFrame, data: DataF
     return fold_s(agg, zero, extracts(ssegd, data))
 
 
+def count_ss(ssegd: DataFrame, data: DataFrame, value) -> DataFrame:
+    """How many elements of each scattered segment equal ``value``."""
+    return fold_ss(lambda v: F.count_if(v == F.lit(value)), 0, ssegd, data)
+
+
 def fold1_ss(agg: Callable[[Column], Column], ssegd: DataFrame, data: DataFrame) -> DataFrame:
     return fold1_s(agg, extracts(ssegd, data))
 

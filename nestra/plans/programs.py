@@ -2,26 +2,13 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..operators import flat, segments
+from .scratch import release, small, stored
 
-
-def _stored(df: DataFrame) -> DataFrame:
-    """Cuts the lineage of iterative programs in the folder that executors share."""
-    spark = df.sparkSession
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if not root:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
-        root = tempfile.gettempdir()
-    path = f"{root.rstrip('/')}/nestra-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+_stored, _release = stored, release
 
 
 def dot_product(xs: DataFrame, ys: DataFrame) -> DataFrame:
@@ -58,37 +45,51 @@ def primes(spark, n: int) -> DataFrame:
 
 def rank(xs: segments.Nested) -> DataFrame:
     """Number of smaller elements in the segment."""
-    from pyspark.sql import Window
-
     return xs.elems.select("seg", "pos", (F.rank().over(Window.partitionBy("seg").orderBy("v")) - 1).cast("bigint").alias("v"))
 
 
-def sort_array(xs: DataFrame) -> DataFrame:
-    """(pos, v) in ascending order: a range-partitioned sort; equal values are summed up before they are placed."""
+#: Copies of one value that are spelled out in one row.
+COPIES = 1 << 16
+
+
+def _placed(xs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(part, v, len): the different values and their numbers in ranges of values, and (part, n, at): each range's
+    elements and those in the ranges before."""
     counts = xs.groupBy("v").agg(F.count(F.lit(1)).alias("len"))
-    edges = xs.select(F.percentile_approx("v", [i / 32 for i in range(1, 32)], 1000)).first()[0] or []
-    part = F.lit(0)
-    for e in sorted(set(edges)):
-        part = part + (F.col("v") > F.lit(e)).cast("int")
-    from pyspark.sql import Window
+    ranged = stored(counts.repartitionByRange("v").withColumn("part", F.spark_partition_id()))
+    per = ranged.groupBy("part").agg(F.sum("len").alias("n"))
+    # one row per range, so this window is bounded by their number
+    before = F.sum("n").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1))
+    return ranged, stored(per.select("part", "n", F.coalesce(before, F.lit(0)).alias("at")))
 
-    held = counts.withColumn("_part", part)
-    per = held.groupBy("_part").agg(F.sum("len").alias("_n"))
-    per = per.select("_part", F.coalesce(F.sum("_n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_at"))
-    local = F.coalesce(F.sum("len").over(Window.partitionBy("_part").orderBy("v").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    placed = held.withColumn("_local", local).join(F.broadcast(per), "_part")
-    k = F.explode(F.sequence(F.lit(0).cast("long"), F.col("len") - 1))
-    return placed.select("v", (F.col("_at") + F.col("_local")).alias("_s"), k.alias("_k")).select((F.col("_s") + F.col("_k")).alias("pos"), "v")
 
+def _starts(ranged: DataFrame, per: DataFrame) -> DataFrame:
+    """(v, len, start): where the copies of each value begin in the sorted array."""
+    local = F.coalesce(F.sum("len").over(Window.partitionBy("part").orderBy("v").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    return ranged.withColumn("_local", local).join(F.broadcast(per), "part").select("v", "len", (F.col("at") + F.col("_local")).alias("start"))
 
-def kth_smallest(xs: DataFrame, k: Column | int) -> DataFrame:
-    return sort_array(xs).where(F.col("pos") == k).select("v")
+
+def sort_array(xs: DataFrame) -> DataFrame:
+    """(pos, v) in ascending order: a range-partitioned sort; equal values are counted before they are placed, and
+    spelled out in runs of ``COPIES``."""
+    starts = _starts(*_placed(xs))
+    run = F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("len") - 1) / COPIES)))
+    runs = starts.select("v", "len", "start", run.alias("_r")).withColumn("_r", F.col("_r") * COPIES)
+    k = F.explode(F.sequence(F.lit(0).cast("long"), F.least(F.col("len") - F.col("_r"), F.lit(COPIES)) - 1))
+    return runs.select("v", (F.col("start") + F.col("_r")).alias("_s"), k.alias("_k")).select((F.col("_s") + F.col("_k")).alias("pos"), "v")
+
+
+def kth_smallest(xs: DataFrame, k: int) -> DataFrame:
+    """One row, or none if there are not as many: only the range that holds the place is put in order."""
+    ranged, per = _placed(xs)
+    per = per.where((F.col("at") <= k) & (k < F.col("at") + F.col("n")))
+    inside = _starts(ranged.join(F.broadcast(per.select("part")), "part", "left_semi"), per)
+    return inside.where((F.col("start") <= k) & (k < F.col("start") + F.col("len"))).select("v")
 
 
 def median(xs: DataFrame) -> DataFrame:
     """The element at half the length of the sorted order."""
-    n = xs.agg(F.floor(F.count(F.lit(1)) / 2).alias("_h"))
-    return sort_array(xs).join(F.broadcast(n), F.col("pos") == F.col("_h")).select("v")
+    return kth_smallest(xs, xs.count() // 2)
 
 
 #: Segments of at most FEW different places are searched directly; in others a square of the grid should hold about FULL.
@@ -184,28 +185,54 @@ def quickhull(points: DataFrame) -> DataFrame:
 
 
 def connected_components(edges: DataFrame) -> DataFrame:
-    """(src, dst) to (node, root): smallest labels spread over links, and labels follow their own labels."""
-    both = edges.select(F.col("src").alias("a"), F.col("dst").alias("b"))
-    both = _stored(both.unionByName(both.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
-    labels = _stored(both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("root")).withColumnRenamed("a", "node"))
-    while True:
-        near = both.join(labels, F.col("b") == F.col("node")).groupBy("a").agg(F.min("root").alias("low"))
-        up = labels.join(near, F.col("node") == F.col("a")).select("node", "root", F.least("root", "low").alias("new"))
-        jump = labels.select(F.col("node").alias("_n"), F.col("root").alias("_r"))
-        new = _stored(up.join(jump, F.col("new") == F.col("_n"), "left").select("node", F.col("root").alias("old"), F.least("new", "_r").alias("root")))
-        if not new.where("old <> root").limit(1).count():
-            return new.select("node", "root")
-        labels = new.select("node", "root")
+    """(src, dst) to (node, root), the smallest node of each component.
+
+    A round contracts the graph: every node points to the smallest of its neighbours and itself, pointers are
+    followed until they end, and links move to where they ended, until none joins two nodes. Links are merged before
+    they are sent anywhere, so a hub is summed up by the tasks that hold its links.
+    """
+    live = stored(edges.selectExpr("least(src, dst) a", "greatest(src, dst) b").where("a is not null and b is not null").distinct())
+    names = stored(live.select(F.col("a").alias("node")).union(live.select("b")).distinct().select("node", F.col("node").alias("root")))
+    live = live.where("a <> b")
+    while live.limit(1).count():
+        both = live.select(F.col("a").alias("node"), F.col("b").alias("near")).union(live.select("b", "a"))
+        up = stored(both.groupBy("node").agg(F.least(F.min("near"), F.col("node")).alias("up")))
+        while True:
+            to = small(up.select(F.col("node").alias("_n"), F.col("up").alias("_u")))
+            jumped = stored(up.join(to, F.col("up") == F.col("_n"), "left").select("node", F.coalesce("_u", "up").alias("up"), (F.col("_u") < F.col("up")).alias("moved")))
+            release(up)
+            up = jumped
+            if not up.where("moved").limit(1).count():
+                break
+        to = small(up.select(F.col("node").alias("_n"), F.col("up").alias("_u")))
+        named = stored(names.join(to, F.col("root") == F.col("_n"), "left").select("node", F.coalesce("_u", "root").alias("root")))
+        ends = lambda c: to.select(F.col("_n").alias(c), F.col("_u").alias(f"_{c}"))
+        moved = live.join(ends("a"), "a").join(ends("b"), "b").where("_a <> _b")
+        fewer = stored(moved.select(F.least("_a", "_b").alias("a"), F.greatest("_a", "_b").alias("b")).distinct())
+        release(names, live, up)
+        names, live = named, fewer
+    return names
 
 
 def ray_cast(rays: DataFrame, triangles: DataFrame) -> DataFrame:
-    """Vertical rays (ray, x, y) against triangles (tri, ax, ay, az, bx, by, bz, cx, cy, cz) of a checked size:
-    the lowest one hit by each ray."""
+    """Vertical rays (ray, x, y) against triangles (tri, ax, ay, az, bx, by, bz, cx, cy, cz): the lowest one hit by
+    each ray.
+
+    Rays and triangles meet in the squares of a grid. A square is about four mean triangles wide, and at least as
+    wide that the largest triangle lies in 65 by 65 squares.
+    """
+    low, high = {c: f"least(a{c}, b{c}, c{c})" for c in "xy"}, {c: f"greatest(a{c}, b{c}, c{c})" for c in "xy"}
+    wide = F.greatest(*(F.expr(f"{high[c]} - {low[c]}") for c in "xy"))
+    mean, most = triangles.agg(F.avg(wide), F.max(wide)).first()
+    side = max(4 * (mean or 0.0), (most or 0.0) / 64) or 1.0
+    cells = lambda c: F.explode(F.sequence(F.floor(F.expr(low[c]) / side), F.floor(F.expr(high[c]) / side)))
+    spread = triangles.withColumn("_gx", cells("x")).withColumn("_gy", cells("y"))
     area = "((bx-ax)*(cy-ay)-(cx-ax)*(by-ay))"
     u, v = f"(((x-ax)*(cy-ay)-(cx-ax)*(y-ay))/{area})", f"(((bx-ax)*(y-ay)-(x-ax)*(by-ay))/{area})"
-    inside = F.expr(f"{area} <> 0 and {u} >= 0 and {v} >= 0 and {u} + {v} <= 1")
+    inside = F.expr(f"if({area} <> 0, {u} >= 0 and {v} >= 0 and {u} + {v} <= 1, false)")
     z = F.expr(f"az + {u}*(bz-az) + {v}*(cz-az)")
-    return rays.join(triangles, inside).groupBy("ray").agg(F.min_by("tri", F.struct(z, "tri")).alias("tri"))
+    met = rays.withColumn("_gx", F.floor(F.col("x") / side)).withColumn("_gy", F.floor(F.col("y") / side)).join(spread, ["_gx", "_gy"])
+    return met.where(inside).groupBy("ray").agg(F.min_by("tri", F.struct(z, "tri")).alias("tri"))
 
 
 #: Fixed value: the constant with which the rotated tree is drawn.
