@@ -13,9 +13,9 @@
 Everything but the sample covers all documents. Counts by host, domain and declaration are joined back with a
 checked broadcast, else with a shuffle.
 
-Cases: null and empty texts, and texts without letters, have no text evidence: declaration and host decide, and if
-there is nothing of these either, the language is "und" and the document is rejected. A null declaration or host
-is no evidence. Repeated rows count as often as they stand. Extra columns are kept by ``keep`` and ignored by
+Cases: null and empty texts, and texts without letters, have no text evidence: declaration, suffix and host decide,
+and if there is nothing of these either (none, or none that a text with letters has), the language is "und" and the
+document is rejected. A null declaration or host is no evidence. Repeated rows count as often as they stand. Extra columns are kept by ``keep`` and ignored by
 ``identify``. Without any labelled row there is only "und".
 """
 
@@ -30,7 +30,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import WORD_TABLE, free_names, small, stored, utf8
+from .common import BROADCAST_ROWS, WORD_TABLE, free_names, small, stored, utf8
 
 BUCKETS = 1 << 16
 #: Labelled documents a language that fit the text model, about; of a language with fewer, all.
@@ -144,12 +144,13 @@ def identify(documents: DataFrame, model: TextModel | None = None, declared: str
     smooth = lambda n, base: F.zip_with(n, base, lambda c, p: (c + HOST_WEIGHT * p) / (F.aggregate(n, F.lit(0.0), lambda a, x: a + x) + HOST_WEIGHT))
     whole = F.array(*(F.lit(float(p)) for p in prior))
     domains = counts("__domain").where("__domain is not null").select("__domain", smooth(F.col("n"), whole).alias("p"))
-    hosts = counts("__host", "__domain").where("__host is not null").join(small(stored(domains.withColumnRenamed("p", "base"))), "__domain", "left")
+    hosts = counts("__host", "__domain").where("__host is not null").join(small(stored(domains.withColumnRenamed("p", "base")), max(1, 2 * BROADCAST_ROWS // len(names))), "__domain", "left")
     hosts = stored(hosts.select("__host", smooth(F.col("n"), F.coalesce("base", whole)).alias("__prior")))
     # P(value | language) over the values that occur, with a pseudo-count for what the value says of itself
     said = _table(counts("__declared").where("__declared is not null"), "__declared", names, every, lambda v: v)
     under = _table(counts("__suffix").where("__suffix <> ''"), "__suffix", names, every, lambda v: _spoken(v))
-    joined = scored.join(small(hosts), "__host", "left").join(small(said), "__declared", "left").join(small(under), "__suffix", "left")
+    # a row here has a number for each language
+    joined = scored.join(small(hosts, max(1, 2 * BROADCAST_ROWS // len(names))), "__host", "left").join(small(said), "__declared", "left").join(small(under), "__suffix", "left")
     fused = F.transform(
         F.arrays_zip(
             F.col("__logs").alias("t"), F.coalesce("__prior", whole).alias("h"), F.coalesce("__declared_p", F.array_repeat(F.lit(1.0), len(names))).alias("d"), F.coalesce("__suffix_p", F.array_repeat(F.lit(1.0), len(names))).alias("s")
@@ -159,7 +160,7 @@ def identify(documents: DataFrame, model: TextModel | None = None, declared: str
     out = joined.withColumn("__fused", fused).withColumn("__top", F.array_max("__fused"))
     total = F.aggregate("__fused", F.lit(0.0), lambda a, x: a + F.exp(x - F.col("__top")))
     language = F.element_at(F.array(*map(F.lit, names)), F.array_position("__fused", F.col("__top")).cast("int"))
-    nothing = F.col("__guess").isNull() & F.col("__declared").isNull()
+    nothing = F.col("__guess").isNull() & F.col("__declared_p").isNull() & F.col("__prior").isNull() & F.col("__suffix_p").isNull()
     out = out.select(*keys, F.when(nothing, UNKNOWN).otherwise(language).alias("language"), F.when(nothing, F.lit(1.0)).otherwise(1 / total).alias("posterior"), F.col("__declared").alias("declared"))
     return out.withColumn("kept", (F.col("language") != UNKNOWN) & (F.col("posterior") >= LEAST))
 

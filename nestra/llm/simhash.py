@@ -12,6 +12,12 @@ of a cell the links kept are a spanning forest (enough for components), never al
 fingerprints is not compared: its members enter the grid of a finer embedding, the counts of one-bit segments, in 16
 groups of four of which 13 agree. Such a cell cannot hold more than 4,096 fingerprints. No pair is lost in either.
 
+``deduplicate`` also finds copies with scattered edits, which differ in many shingles but few words: every text has
+``ALIKE`` fingerprints more, of the set of its words under other hashes. Word fingerprints within 3 bits make a link
+if the shingle fingerprints agree in at least 0.8 of their bits (differ in ``VERIFIED`` at most), which word order and
+everything else must uphold. Texts of one word fingerprint are compared with the smallest shingle fingerprint among
+them, and different word fingerprints through these, so that a group of any size makes as many links as members.
+
 Cases: a null or empty text has no shingles and the fingerprint zero, which links like any other; fewer words
 than a shingle make one shingle of all of them. Rows that share a doc_id count row by row; a null doc_id takes
 part but never names a component unless all ids in it are null. Extra columns are ignored by ``near_duplicates``
@@ -42,6 +48,8 @@ CELL = 4096
 EXPECTED = 4.0
 #: Bits by which one segment's count tells two independent fingerprints apart: -log2(1/16 + 1/4 + 1/16).
 SEGMENT_BITS = 1.415
+#: Fingerprints of a text's set of words, and the bits in which shingle fingerprints may differ where these are alike.
+ALIKE, VERIFIED = 4, 12
 _HASH = partial(xxhash.xxh64_intdigest, seed=SEED)
 
 
@@ -58,16 +66,31 @@ def fingerprint(data: bytes) -> int:
     return int(np.packbits(2 * ones > len(hashes)).view(">i8")[0])
 
 
-def fingerprints(documents: DataFrame, *columns: str, name: str = "fp") -> DataFrame:
-    """``columns`` of the documents and their fingerprint (long) as ``name``."""
+def word_fingerprints(data: bytes) -> list[int]:
+    """``ALIKE`` 64-bit SimHashes of the set of words, each under a hash of its own."""
+    seq = set(space_words(data))
+    if not seq:
+        return [0] * ALIKE
+    many = sorted(seq)
+    halves = [b"".join(map(partial(xxhash.xxh3_128_digest, seed=i), many)) for i in range(ALIKE // 2)]
+    bits = [np.unpackbits(np.frombuffer(h, np.uint8).reshape(-1, 16), axis=1) for h in halves]
+    ones = np.concatenate([b.sum(0, dtype=np.int64) for b in bits])
+    return np.packbits(2 * ones > len(many)).view(">i8").tolist()
+
+
+def fingerprints(documents: DataFrame, *columns: str, name: str = "fp", alike: str | None = None) -> DataFrame:
+    """``columns`` of the documents, their fingerprint (long) as ``name``, and their word fingerprints (an array) as
+    ``alike`` if that is given."""
     kept = documents.select(*columns, *(() if "text" in columns else ("text",)))
     at = kept.columns.index("text")
-    schema = T.StructType([documents.schema[c] for c in columns] + [T.StructField(name, T.LongType())])
+    own = [T.StructField(name, T.LongType())] + ([T.StructField(alike, T.ArrayType(T.LongType()))] if alike else [])
+    schema = T.StructType([documents.schema[c] for c in columns] + own)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            fps = pa.array([fingerprint(t or b"") for t in utf8(batch.column(at))], pa.int64())
-            yield pa.RecordBatch.from_arrays([*batch.columns[: len(columns)], fps], names=[*columns, name])
+            texts = [t or b"" for t in utf8(batch.column(at))]
+            more = [pa.array(map(fingerprint, texts), pa.int64())] + ([pa.array(map(word_fingerprints, texts), pa.list_(pa.int64()))] if alike else [])
+            yield pa.RecordBatch.from_arrays([*batch.columns[: len(columns)], *more], names=schema.names)
 
     return kept.mapInArrow(run, schema)
 
@@ -99,12 +122,12 @@ _LINK = T.StructType([T.StructField("a", T.LongType()), T.StructField("b", T.Lon
 _EVEN = np.uint64(0x5555555555555555)
 
 
-def _forest(fps: np.ndarray, k: int) -> Iterator[tuple[int, int]]:
+def _forest(ws: np.ndarray, fps: np.ndarray, k: int, verified: int) -> Iterator[tuple[int, int]]:
     """Spanning links of one cell. Rows of the distance matrix are visited breadth first from unseen members."""
-    bits = fps.view(np.uint64)
+    bits, told = ws.view(np.uint64), fps.view(np.uint64)
     counts = (bits & _EVEN) + ((bits >> np.uint64(1)) & _EVEN)
-    left = np.ones(len(fps), bool)
-    for root in range(len(fps)):
+    left = np.ones(len(ws), bool)
+    for root in range(len(ws)):
         if not left[root]:
             continue
         left[root] = False
@@ -114,6 +137,7 @@ def _forest(fps: np.ndarray, k: int) -> Iterator[tuple[int, int]]:
             rest = np.flatnonzero(left)
             near = rest[_manhattan(counts[rest], counts[i]) <= k]
             near = near[np.bitwise_count(bits[near] ^ bits[i]) <= k]
+            near = near[np.bitwise_count(told[near] ^ told[i]) <= verified]
             left[near] = False
             queue += near.tolist()
             for j in near.tolist():
@@ -128,9 +152,9 @@ def _manhattan(many: np.ndarray, one: np.uint64) -> np.ndarray:
     return np.bitwise_count(ones).astype(np.int64) + 2 * np.bitwise_count(twos)
 
 
-def _link_cells(masks: list[int], width: int, k: int, cell: int | None):
-    """Rows (choice, fp) that are sorted by cell to links. Of a cell of more than ``cell`` members each comes out as a
-    row without b instead."""
+def _link_cells(masks: list[int], width: int, k: int, verified: int, cell: int | None):
+    """Rows (choice, w, fp) that are sorted by cell of w to links of fp. Of a cell of more than ``cell`` members each w
+    comes out as a row without b instead."""
     of = np.array(masks, np.int64).view(np.uint64)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -139,31 +163,31 @@ def _link_cells(masks: list[int], width: int, k: int, cell: int | None):
         def close() -> tuple[list[int], list[int]]:
             if crowded or size < 2:
                 return [], []
-            pairs = list(_forest(np.concatenate(held), k))
+            pairs = list(_forest(*(np.concatenate(x) for x in zip(*held)), k, verified))
             return [x for x, _ in pairs], [y for _, y in pairs]
 
         for batch in batches:
             a: list[int] = []
             b: list[int | None] = []
-            c, fp = batch.column(0).to_numpy().astype(np.int64), batch.column(1).to_numpy()
-            bits = fp.view(np.uint64)
+            c, w, fp = batch.column(0).to_numpy().astype(np.int64), batch.column(1).to_numpy(), batch.column(2).to_numpy()
+            bits = w.view(np.uint64)
             value = ((bits & _EVEN) + ((bits >> np.uint64(1)) & _EVEN) if width == 2 else bits) & of[c]
             cuts = np.flatnonzero((c[1:] != c[:-1]) | (value[1:] != value[:-1])) + 1
             starts, ends = np.append(0, cuts), np.append(cuts, len(c))
             # cells of one member are done unless they are the first or the last of the batch
             full = np.flatnonzero(ends - starts > 1)
             for i in np.unique(np.concatenate([[0], full, [len(starts) - 1]])).tolist():
-                key, part = (int(c[starts[i]]), int(value[starts[i]])), fp[starts[i] : ends[i]]
+                key, part = (int(c[starts[i]]), int(value[starts[i]])), slice(starts[i], ends[i])
                 if key != open_key:
                     x, y = close()
                     a += x
                     b += y
                     open_key, held, size, crowded = key, [], 0, False
-                size += len(part)
+                size += ends[i] - starts[i]
                 if not crowded:
-                    held.append(part)
+                    held.append((w[part], fp[part]))
                 if cell and size > cell:
-                    a += np.concatenate(held).tolist() if not crowded else part.tolist()
+                    a += np.concatenate([x for x, _ in held]).tolist() if not crowded else w[part].tolist()
                     held, crowded = [], True
                     b += [None] * (len(a) - len(b))
             yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
@@ -173,22 +197,41 @@ def _link_cells(masks: list[int], width: int, k: int, cell: int | None):
     return run
 
 
-def _linked(fps: DataFrame, blocks: int, width: int, k: int, cell: int | None) -> DataFrame:
+def _linked(rows: DataFrame, blocks: int, width: int, k: int, verified: int, cell: int | None) -> DataFrame:
     masks = _masks(blocks, k, width)
-    counts = _counts(F.col("fp")) if width == 2 else F.col("fp")
+    counts = _counts(F.col("w")) if width == 2 else F.col("w")
     value = F.get(F.array(*map(F.lit, masks)), F.col("c")).bitwiseAND(counts)
-    celled = fps.select(F.explode(F.sequence(F.lit(0), F.lit(len(masks) - 1))).alias("c"), "fp")
+    celled = rows.select(F.explode(F.sequence(F.lit(0), F.lit(len(masks) - 1))).alias("c"), "w", "fp")
     # a cell's value is not sent: it follows from the choice of groups and the fingerprint
-    return celled.repartition("c", value).sortWithinPartitions("c", value).mapInArrow(_link_cells(masks, width, k, cell), _LINK)
+    return celled.repartition("c", value).sortWithinPartitions("c", value).mapInArrow(_link_cells(masks, width, k, verified, cell), _LINK)
 
 
 def links(fps: DataFrame, k: int = BITS, blocks: int | None = None, cell: int = CELL) -> DataFrame:
     """Different fingerprints (column ``fp``) to links (a, b) that join the same fingerprints as all pairs within k."""
-    found = stored(_linked(fps, blocks or blocks_for(fps.count(), k), 2, k, cell))
-    crowded = found.where("b is null").select(F.col("a").alias("fp")).distinct()
+    return _grid(fps.select(F.col("fp").alias("w"), "fp"), k, 64, blocks, cell)
+
+
+def _grid(rows: DataFrame, k: int, verified: int, blocks: int | None = None, cell: int = CELL) -> DataFrame:
+    """Links of fp between rows (w, fp) of different w within k bits whose fp differ in ``verified`` bits at most."""
+    found = stored(_linked(rows, blocks or blocks_for(rows.count(), k), 2, k, verified, cell))
+    crowded = found.where("b is null").select(F.col("a").alias("w")).distinct()
     if not crowded.limit(1).count():
         return found
-    return found.where("b is not null").unionByName(_linked(crowded, 16, 4, k, None))
+    inside = rows.join(small(crowded), "w", "left_semi")
+    return found.where("b is not null").unionByName(_linked(inside, 16, 4, k, verified, None))
+
+
+def alike_links(marked: DataFrame, alike: str, k: int = BITS, verified: int = VERIFIED) -> DataFrame:
+    """Links (a, b) of fp between rows (fp, ``alike``) whose word fingerprints are close, by each of them in turn."""
+    pairs = stored(marked.select("fp", F.posexplode(alike).alias("i", "w")).distinct())
+    first = stored(pairs.groupBy("i", "w").agg(F.min("fp").alias("rep"), F.count(F.lit(1)).alias("n")))
+    # only word fingerprints of several shingle fingerprints need the second look
+    several = first.where("n > 1").select(F.col("i").alias("_i"), F.col("w").alias("_w"), "rep")
+    out = pairs.join(small(several), (F.col("i") == F.col("_i")) & (F.col("w") == F.col("_w"))).select(F.col("fp").alias("a"), F.col("rep").alias("b"))
+    out = out.where((F.col("a") != F.col("b")) & (F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= verified))
+    for i in range(ALIKE):
+        out = out.unionByName(_grid(first.where(F.col("i") == i).select("w", F.col("rep").alias("fp")), k, verified))
+    return out
 
 
 def near_duplicates(documents: DataFrame, k: int = BITS) -> DataFrame:
@@ -198,11 +241,12 @@ def near_duplicates(documents: DataFrame, k: int = BITS) -> DataFrame:
     return marked.join(named, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def _named(marked: DataFrame, k: int) -> DataFrame:
+def _named(marked: DataFrame, k: int, more: DataFrame | None = None) -> DataFrame:
     """(doc_id, fp) to (fp, root, component_id), a row per different fingerprint. ``root`` is a fingerprint of the
     component, the same for all of it; the smallest doc_id may be in several components, or null."""
     classes = stored(marked.groupBy("fp").agg(F.min("doc_id").alias("first_id")))
-    rooted = components(links(classes.select("fp"), k)).withColumnRenamed("node", "fp")
+    found = links(classes.select("fp"), k)
+    rooted = components(found if more is None else found.unionByName(more)).withColumnRenamed("node", "fp")
     # only fingerprints with links need the second look
     linked = stored(rooted.join(classes, "fp"))
     lowest = linked.groupBy("root").agg(F.min("first_id").alias("lowest"))
@@ -218,10 +262,11 @@ def deduplicate(documents: DataFrame, k: int = BITS) -> DataFrame:
     are repeats of one document; one of them stays. Rows of one doc_id (or of none) in different components are
     different documents and all stay.
     """
-    fp, gone_id, gone_fp = free_names(documents.columns, "fingerprint", "gone_id", "gone_fingerprint")
-    full = stored(fingerprints(documents, *documents.columns, name=fp))
+    fp, alike, gone_id, gone_fp = free_names(documents.columns, "fingerprint", "alike", "gone_id", "gone_fingerprint")
+    full = stored(fingerprints(documents, *documents.columns, name=fp, alike=alike))
     marked = full.select("doc_id", F.col(fp).alias("fp"))
-    named = stored(marked.join(_named(marked, k), "fp"))
+    more = alike_links(full.select(F.col(fp).alias("fp"), F.col(alike).alias("alike")), "alike", k)
+    named = stored(marked.join(_named(marked, k, more), "fp"))
     first = F.col("doc_id").eqNullSafe(F.col("component_id"))
     heads = stored(named.where(first).groupBy("doc_id", "fp", "root").agg(F.count(F.lit(1)).alias("n")))
     # the smallest doc_id of a component may have several fingerprints in it: the smallest of these stays
