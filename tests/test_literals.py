@@ -16,6 +16,7 @@ def lists(df):
     return flat.to_list(df)
 
 
+# The small arrays of this test and what the operators make of them are documented examples.
 def test_flat_literals(spark):
     of = lambda xs, kind="bigint": flat.from_list(spark, xs, kind)
     assert lists(flat.extract(of([23, 42, 93, 50, 27]), 1, 3)) == [42, 93, 50]
@@ -127,21 +128,26 @@ def test_folds_of_empty_segments(spark):
     assert of(A.cross(empty, F.array(F.lit(1)))) == []
 
 
-def test_rotation_recursion(spark):
-    import math
-
-    def tree(h, phase, t):
-        r = phase + h / 20 * t
-        c, s = math.cos(r), math.sin(r)
-        px, py = -h * s, h * c
-        below = [q for k in range(1, h + 1) for q in tree(h - 1, k / h * 2 * programs.TREE_PI - programs.TREE_PI, t)]
-        return [(px, py)] + [(x * c - y * s + px, x * s + y * c + py) for x, y in below]
-
-    for depth in (0, 1, 4):
-        want = [p for i in range(4) for p in tree(depth, i * programs.TREE_PI / 2, 1.3)]
-        got = programs.rotation(spark, depth, 1.3).orderBy("pos").collect()
-        assert [r.pos for r in got] == list(range(len(want)))
-        assert np.allclose([(r.x, r.y) for r in got], want)
+def test_rotated_trees(spark):
+    """Four trees at right angles; a node of height h has h children as far from it as they are high."""
+    for depth in (0, 1, 2, 4):
+        sizes = [1]
+        for h in range(1, depth + 1):
+            sizes.append(1 + h * sizes[-1])
+        at = {r.pos: complex(r.x, r.y) for r in programs.rotation(spark, depth, 1.3).collect()}
+        assert sorted(at) == list(range(4 * sizes[depth]))
+        roots = [at[i * sizes[depth]] for i in range(4)]
+        assert np.allclose(np.abs(roots), depth)
+        assert depth == 0 or np.allclose([roots[i + 1] / roots[i] for i in range(3)], 1j, atol=1e-9)
+
+        def below(pos, h):
+            for k in range(h):
+                child = pos + 1 + k * sizes[h - 1]
+                assert np.isclose(abs(at[child] - at[pos]), h - 1)
+                below(child, h - 1)
+
+        for i in range(4):
+            below(i * sizes[depth], depth)
 
 
 def test_flat_prefixes(spark):
