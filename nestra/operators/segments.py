@@ -9,11 +9,11 @@ from __future__ import annotations
 from collections.abc import Callable
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..plans.positions import exclusive_sum, rebase_segments
+from ..plans.positions import CHUNK, exclusive_sum, rebase_segments
 
 
 @dataclass
@@ -123,12 +123,14 @@ def max_index_s(xs: Nested) -> DataFrame:
     return xs.elems.groupBy("seg").agg(F.max_by("pos", F.struct("v", -F.col("pos"))).alias("v"))
 
 
-def scan_s(xs: Nested) -> DataFrame:
-    """Exclusive prefix sums in each segment."""
-    from pyspark.sql import Window
-
-    w = Window.partitionBy("seg").orderBy("pos").rowsBetween(Window.unboundedPreceding, -1)
-    return xs.elems.select("seg", "pos", F.coalesce(F.sum("v").over(w), F.lit(0)).alias("v"))
+def scan_s(xs: Nested, chunk: int = CHUNK) -> DataFrame:
+    """Exclusive prefix sums in each segment: in chunks of positions first, so that a long segment is not one task's,
+    then over the chunks' sums, which only segments of several chunks have."""
+    before = lambda order, *by: F.sum("v").over(Window.partitionBy(*by).orderBy(order).rowsBetween(Window.unboundedPreceding, -1))
+    held = xs.elems.select("seg", "pos", "v", F.floor(F.col("pos") / chunk).alias("_chunk"))
+    per = held.groupBy("seg", "_chunk").agg(F.sum("v").alias("v")).select("seg", "_chunk", before("_chunk", "seg").alias("_offset")).where("_chunk > 0")
+    local = held.withColumn("_local", F.coalesce(before("pos", "seg", "_chunk"), F.lit(0)))
+    return local.join(per, ["seg", "_chunk"], "left").select("seg", "pos", (F.col("_local") + F.coalesce("_offset", F.lit(0))).alias("v"))
 
 
 # --- segment-wise operators

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -153,11 +154,16 @@ def gravity(bodies: DataFrame, cell: str = "cell", softening: float = 1.0) -> Da
     return pairs.groupBy(cell, "id").agg(F.sum(f * dx).alias("ax"), F.sum(f * dy).alias("ay"))
 
 
-def quickhull(points: DataFrame) -> DataFrame:
+#: Points outside one line that a task takes together.
+TOGETHER = 4096
+
+
+def quickhull(points: DataFrame, together: int = TOGETHER) -> DataFrame:
     """(seg, id, x, y) to the hull's (seg, id, x, y) of each segment.
 
     A level splits every open line by its farthest point; points inside are dropped, so each level shuffles what
-    is left. Of points at one place the smallest id counts. Lines end when no point lies outside.
+    is left. Once no line has more than ``together`` points outside, each is finished in one go by a chain of turns.
+    Of points at one place the smallest id counts.
     """
     points = points.groupBy("seg", "x", "y").agg(F.min("id").alias("id"))
     p = F.struct("x", "y", "id")
@@ -169,21 +175,39 @@ def quickhull(points: DataFrame) -> DataFrame:
         c = F.col
         return (c(f"{b}.x") - c(f"{a}.x")) * (c("y") - c(f"{a}.y")) - (c(f"{b}.y") - c(f"{a}.y")) * (c("x") - c(f"{a}.x"))
 
-    open_ = _stored(points.join(lines, "seg").withColumn("d", side("a", "b")).where("d > 0"))
-    while open_.limit(1).count():
-        far = open_.groupBy("seg", "a", "b").agg(F.max_by(p, F.struct("d", "x", "y")).alias("c"))
-        far = _stored(far)
+    open_ = stored(points.join(lines, "seg").withColumn("d", side("a", "b")).where("d > 0"))
+    while most := open_.groupBy("seg", "a", "b").count().agg(F.max("count")).first()[0]:
+        if most <= together:
+            kinds = open_.select("seg", "x", "y", "id").schema
+            hull.append(open_.groupBy("seg", "a", "b").applyInArrow(_chain, kinds))
+            break
+        far = stored(open_.groupBy("seg", "a", "b").agg(F.max_by(p, F.struct("d", "x", "y")).alias("c")))
         hull.append(far.select("seg", "c.*"))
         split = open_.join(far, ["seg", "a", "b"])
         left = split.withColumn("d", side("a", "c")).where("d > 0").select("seg", "x", "y", "id", "a", F.col("c").alias("b"), "d")
         right = split.withColumn("d", side("c", "b")).where("d > 0").select("seg", "x", "y", "id", F.col("c").alias("a"), "b", "d")
-        open_ = _stored(left.unionByName(right))
+        fewer = stored(left.unionByName(right))
+        release(open_)
+        open_ = fewer
     out = hull[0]
     for h in hull[1:]:
-        out = out.unionByName(h)
+        out = out.unionByName(h.select("seg", "x", "y", "id"))
     return out.select("seg", "id", "x", "y").distinct()
 
 
+def _chain(outside: pa.Table) -> pa.Table:
+    """The hull's points among those left of a line, without its ends: seen along the line they all turn right."""
+    a, b = outside["a"][0].as_py(), outside["b"][0].as_py()
+    start, end = (a["x"], a["y"]), (b["x"], b["y"])
+    rows = sorted(zip(outside["x"].to_pylist(), outside["y"].to_pylist(), range(outside.num_rows)), reverse=start > end)
+    chain: list[tuple] = [(*start, -1)]
+    for q in [*rows, (*end, -1)]:
+        while len(chain) > 1 and (chain[-1][0] - chain[-2][0]) * (q[1] - chain[-2][1]) >= (chain[-1][1] - chain[-2][1]) * (q[0] - chain[-2][0]):
+            chain.pop()
+        chain.append(q)
+    return outside.take([i for _, _, i in chain if i >= 0]).select(["seg", "x", "y", "id"])
+
+
 def connected_components(edges: DataFrame) -> DataFrame:
     """(src, dst) to (node, root), the smallest node of each component.
 

@@ -196,3 +196,11 @@ def test_descriptors_of_nothing(spark):
     assert [r["len"] for r in descriptors.demote_to_ssegd(shared).rows.collect()] == [4, 4, 4]
     assert lists(descriptors.lengths_vsegd(shared)) == [4, 4, 4]
     assert collections.to_vectors(collections.empties(spark, 2)).count() == 2
+
+
+@pytest.mark.parametrize("chunk", [1, 3, 1000])
+def test_segments_are_scanned_in_chunks(spark, chunk):
+    values = [[3, 1, 4, 1, 5, 9, 2], [], [6], [5, 3, 5, 8]]
+    xs = segments.unnest(spark.createDataFrame(list(enumerate(values)), "seg bigint, v array<bigint>"))
+    want = sorted((s, p, sum(v[:p])) for s, v in enumerate(values) for p in range(len(v)))
+    assert sorted(map(tuple, segments.scan_s(xs, chunk).collect())) == want
