@@ -116,6 +116,18 @@ def release(df: DataFrame) -> None:
         _scratch.remove((df.sparkSession, path))
 
 
+def scratch_paths() -> set[str]:
+    """Paths of all tables of :func:`stored` that are there now."""
+    return {path for _, path in _scratch}
+
+
+def release_paths(paths: set[str]) -> None:
+    """Deletes those tables."""
+    for spark, path in [x for x in _scratch if x[1] in paths]:
+        _delete(spark, path)
+        _scratch.remove((spark, path))
+
+
 def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     """``df`` marked for broadcast if a count shows at most ``rows`` rows, else as it is (a shuffled join)."""
     return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df

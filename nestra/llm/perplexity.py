@@ -27,7 +27,8 @@ Cases: null and empty texts have no words, a null perplexity and are kept (there
 language is a language. Documents of a language without trusted text have a null threshold and are kept; if none of
 a language's trusted documents is held out, all of them set its threshold. Repeated rows count as often as they
 stand; a document with several labels is trusted if one says so and none says that it is toxic. A null doc_id is
-never trusted. Extra columns are ignored; empty tables give empty results.
+never trusted. Extra columns are ignored; empty tables give empty results. Documents are numbered as they are read:
+a task that is repeated must read the same rows in the same order, as tasks on files do.
 """
 
 from __future__ import annotations

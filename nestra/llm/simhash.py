@@ -6,8 +6,8 @@ in the embedding, and of any ``blocks`` groups of segments at least ``blocks - k
 The grid's cells are those agreeing counts: a fingerprint enters one cell for each choice of ``blocks - k``
 groups, pairs meet within cells, and whatever passes the Manhattan bound is verified on the bits.
 
-Exact copies collapse to one fingerprint before anything is joined. ``blocks`` follows from the number of
-different fingerprints, so that a cell holds a few of them at any corpus size. Cells are read as one sorted stream;
+Exact copies collapse to one fingerprint before anything is joined. ``blocks`` is 7, more for
+over 7 million different fingerprints, so that a cell holds a few of them at any corpus size. Cells are read as one sorted stream;
 of a cell the links kept are a spanning forest (enough for components), never all pairs. A cell of more than ``CELL``
 fingerprints is not compared: its members enter the grid of a finer embedding, the counts of one-bit segments, in 16
 groups of four of which 13 agree. Such a cell cannot hold more than 4,096 fingerprints. No pair is lost in either.
@@ -46,6 +46,8 @@ SHINGLE, SEED, BITS = 3, 42, 3
 CELL = 4096
 #: Candidate pairs a fingerprint may meet in its cells, as expected of independent bits.
 EXPECTED = 4.0
+#: Groups of segments up to 7 million fingerprints: till there cells, and all that is sent, grow in proportion to them.
+BLOCKS = 7
 #: Bits by which one segment's count tells two independent fingerprints apart: -log2(1/16 + 1/4 + 1/16).
 SEGMENT_BITS = 1.415
 #: Fingerprints of a text's set of words, and the bits in which shingle fingerprints may differ where these are alike.
@@ -96,8 +98,8 @@ def fingerprints(documents: DataFrame, *columns: str, name: str = "fp", alike: s
 
 
 def blocks_for(n: int, k: int = BITS) -> int:
-    """Groups of segments by which ``n`` fingerprints meet about ``EXPECTED`` others at most."""
-    for blocks in range(k + 2, 17):
+    """Groups of segments by which ``n`` fingerprints meet about ``EXPECTED`` others at most, ``BLOCKS`` at least."""
+    for blocks in range(max(k + 2, BLOCKS), 17):
         if n * comb(blocks, k) * 2.0 ** (-SEGMENT_BITS * 32 * (blocks - k) / blocks) <= EXPECTED:
             return blocks
     return 16
