@@ -644,8 +644,8 @@ _TRI = "SELECT s_suppkey AS tri, s_suppkey % 7 - 3.0::DOUBLE AS ax, s_suppkey %
 )
 def pluecker(spark, d):
     """Rays from the origin through the points of a screen; the SQL intersects planes and checks coordinates in the
-    triangle, and the screen's points lie beside all edges."""
+    triangle. Rays through an edge, which more triangles have, miss the triangle."""
     t = table(spark, d, "supplier").selectExpr("s_suppkey tri", "s_suppkey % 7 - 3.0D ax", "s_suppkey % 5 - 2.0D ay", "5.0D + s_suppkey % 11 az")
     t = t.selectExpr("*", "ax + 2 bx", "ay by", "az + 1 bz", "ax cx", "ay + 2 cy", "az + 0.5D cz")
     rays = table(spark, d, "events").selectExpr("event_id ray", "0.0D ox", "0.0D oy", "0.0D oz", "(user_id % 21 - 10) / 10.0D px", "(event_id % 17 - 8) / 10.0D py", "1.0D pz")
-    return trees.pluecker(rays, t).select("ray", F.round("at", 6).alias("at"))
+    return trees.pluecker(rays, t, margin=1e-9).select("ray", F.round("at", 6).alias("at"))
