@@ -8,9 +8,11 @@ already; taking one away again is exact, so formatting is reversible.
 conversation's formatted text. An assistant turn's row is an example of its own: its context is everything
 before its offset (all preceding turns), its target is its own segment, and only the reply between ``loss_from``
 and ``loss_to`` is trainable. Contexts are shared prefixes, not copies: a conversation of n turns takes n rows,
-not n * n / 2 texts, and may hold a third of all rows. ``examples`` writes all of them out, ``render`` chosen ones.
+not n * n / 2 texts, and may hold a third of all rows. ``examples`` writes all of them out, ``render`` chosen ones,
+and ``digest`` reads the written examples back.
 
-A conversation's rows meet in one sorted stream that is read row by row; no task holds a conversation.
+A conversation's rows meet in one sorted stream that is read row by row; a task that writes examples holds the text
+of one conversation.
 
 Cases: null texts and roles are empty. Turns are ordered by number, nulls first, then by role and text, so
 repeated turns are kept in a defined order. A null conv_id is a conversation. Conversations without an
@@ -104,21 +106,25 @@ def expand(conversations: DataFrame) -> DataFrame:
 _EXAMPLE = T.StructType([T.StructField("conv_id", T.LongType()), T.StructField("example", T.LongType()), T.StructField("text", T.StringType()), T.StructField("loss_from", T.LongType()), T.StructField("loss_to", T.LongType())])
 
 
-def examples(expanded: DataFrame, most_chars: int | None = None) -> DataFrame:
+def examples(expanded: DataFrame, most_chars: int | None = None, rest: bool = False) -> DataFrame:
     """Every example written out: conv_id, example, text (all preceding turns, then the reply), loss_from, loss_to.
 
     A conversation's rows come in order, so a task holds the text of one conversation so far and writes an example
     at each assistant turn, one at a time. The text repeats its context, so its size grows with the square of a
     conversation's length. With ``most_chars`` a longer context loses its oldest whole turns (the target stays).
+    With ``rest`` a conversation that ends on other turns has a last row, a context without target: example, loss_from
+    and loss_to are null.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         here: object = object()
         turns: deque[str] = deque()
-        size = dropped = 0
+        size = dropped = open_ = 0
         for batch in batches:
             for conv, segment, example, start, end in zip(*(batch.column(i).to_pylist() for i in (0, 2, 5, 6, 7))):
                 if conv != here:
+                    if open_ and rest:
+                        yield _example(here, None, "".join(turns), None, None)
                     here, size, dropped = conv, 0, 0
                     turns.clear()
                 turns.append(segment)
@@ -126,13 +132,19 @@ def examples(expanded: DataFrame, most_chars: int | None = None) -> DataFrame:
                 while most_chars is not None and size > most_chars and len(turns) > 1:
                     size -= len(turns[0])
                     dropped += len(turns.popleft())
-                if example is not None:
-                    row = [[conv], [example], ["".join(turns)], [start - dropped], [end - dropped]]
-                    yield pa.RecordBatch.from_arrays([pa.array(v, pa.string() if i == 2 else pa.int64()) for i, v in enumerate(row)], names=_EXAMPLE.names)
+                open_ = example is None
+                if not open_:
+                    yield _example(conv, example, "".join(turns), start - dropped, end - dropped)
+        if open_ and rest:
+            yield _example(here, None, "".join(turns), None, None)
 
     return expanded.mapInArrow(run, _EXAMPLE)
 
 
+def _example(*row) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([v], pa.string() if i == 2 else pa.int64()) for i, v in enumerate(row)], names=_EXAMPLE.names)
+
+
 def render(expanded: DataFrame, chosen: DataFrame) -> DataFrame:
     """:func:`examples` of those in ``chosen`` (conv_id, example)."""
     convs = chosen.select("conv_id").distinct()
@@ -166,32 +178,40 @@ _DIGEST = T.StructType(
 
 
 def digest(expanded: DataFrame) -> DataFrame:
-    """Per conversation, read back from the rows of ``expand`` as they stand: turns, trained text and sizes."""
+    """Per conversation, read back from its written examples: turns, trained text and sizes.
+
+    An example's context has to be the whole text of the example before, and what follows that is parsed; the trained
+    text is what its loss mask shows."""
 
     def read_back(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         open_: list | None = None
+        before = ""
         for batch in batches:
             done = []
-            for conv, segment, offset, start, end in zip(*(batch.column(i).to_pylist() for i in (0, 2, 4, 6, 7))):
+            for row in range(batch.num_rows):  # one text at a time, as texts are long
+                conv, text, start, end = (batch.column(i)[row].as_py() for i in (0, 2, 3, 4))
                 if open_ is None or open_[0] != conv:
                     if open_ is not None:
                         done.append(open_)
-                    open_ = [conv, 0, hashlib.sha256(), 0, hashlib.sha256(), 0, 0]
-                role, text = parse(segment)
-                open_[1] += 1
-                open_[2].update(f"{role}\n{text}\n".encode())
+                    open_, before = [conv, 0, hashlib.sha256(), 0, hashlib.sha256(), 0, 0], ""
+                if not (text.startswith(before) and text.endswith(END)):
+                    raise ValueError(f"conversation {conv}: a context is not the text before it")
+                for segment in text[len(before) : -len(END)].split(END):
+                    role, said = parse(segment + END)
+                    open_[1] += 1
+                    open_[2].update(f"{role}\n{said}\n".encode())
                 if start is not None:
-                    trained = unescape(segment[start - offset : end - offset])
+                    trained = unescape(text[start:end])
                     open_[3] += len(trained)
                     open_[4].update(trained.encode())
                     open_[6] += 1
-                open_[5] += len(segment)
+                open_[5], before = len(text), text
             if done:
                 yield _rows(done)
         if open_ is not None:
             yield _rows([open_])
 
-    return expanded.mapInArrow(read_back, _DIGEST)
+    return examples(expanded, rest=True).mapInArrow(read_back, _DIGEST)
 
 
 def _rows(done: list[list]) -> pa.RecordBatch:
