@@ -33,9 +33,11 @@ a task that is repeated must read the same rows in the same order, as tasks on f
 
 from __future__ import annotations
 
+from array import array
 from collections import Counter
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -59,6 +61,8 @@ QUANTILE, SLACK, HELD_OUT = 0.98, 1.25, 8
 PACKED_WORDS, PACKED_DOCS = 1 << 21, 1 << 12
 #: Different words that a task holds before it hands them on, and packs whose sums a shard's task holds.
 HELD, HELD_PACKS = 400_000, 1024
+#: What a worker looks at in one go: texts of a batch, bytes of a text, pairs of a pack.
+STEP_TEXTS, STEP_BYTES, STEP_PAIRS = 256, 1 << 17, 1 << 16
 #: Bytes of an n-gram of the spelling model: there are at most 2 ** 24 of them.
 SPELLED = 3
 
@@ -68,12 +72,24 @@ _RESTORE = pow(_SCRAMBLE, -1, 1 << 32)
 _MASK = np.uint64(0xFFFFFFFF)
 
 
-def words_of(text: bytes) -> list[bytes]:
-    """White-space separated words, case and punctuation kept."""
-    return text.translate(_BLANK).split()
+_BLANK = bytes(32 if b < 33 else b for b in range(256))
 
 
-_BLANK = bytes(32 if b < 33 else b for b in range(256))
+def _words(text: bytes) -> Iterator[list[bytes]]:
+    """White-space separated words, case and punctuation kept, in lists of bounded length: as objects words take many
+    times the room of their text."""
+    blank, start = text.translate(_BLANK), 0
+    while start < len(blank):
+        end = blank.find(b" ", start + STEP_BYTES)
+        end = len(blank) if end < 0 else end
+        yield blank[start:end].split()
+        start = end
+
+
+def _texts(column: pa.Array) -> Iterator[list[bytes | None]]:
+    """A string column as bytes, some rows at a time."""
+    for i in range(0, len(column), STEP_TEXTS):
+        yield utf8(column.slice(i, STEP_TEXTS))
 
 
 def trusted_documents(labels: DataFrame) -> DataFrame:
@@ -153,7 +169,12 @@ def _find(have: np.ndarray, values: np.ndarray, keys: np.ndarray, missing: float
 
 
 def _scrambled(v: np.ndarray, w: np.ndarray) -> np.ndarray:
-    return ((v.astype(np.uint64) << np.uint64(16) | w.astype(np.uint64)) * np.uint64(_SCRAMBLE)) & _MASK
+    out = v.astype(np.uint64)
+    out <<= np.uint64(16)
+    out |= w.astype(np.uint64)
+    out *= np.uint64(_SCRAMBLE)
+    out &= _MASK
+    return out
 
 
 def _restored(pairs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -163,11 +184,17 @@ def _restored(pairs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 def _packs(pairs: np.ndarray, payload: np.ndarray) -> Iterator[tuple[int, bytes]]:
     """Shard and packed rows: 20 bits of the pair and 12 of payload, sorted."""
-    rows = np.sort(pairs << np.uint64(12) | payload.astype(np.uint64))
+    rows = pairs << np.uint64(12)
+    rows |= payload.astype(np.uint64)
+    return _by_shard(rows)
+
+
+def _by_shard(rows: np.ndarray) -> Iterator[tuple[int, bytes]]:
+    """:func:`_packs` of pairs and payload in one number; ``rows`` are sorted in place."""
+    rows.sort()
     cut = np.searchsorted(rows, np.arange(SHARDS + 1, dtype=np.uint64) << np.uint64(LOW_BITS + 12))
-    data = rows.astype(np.uint32).tobytes()
     for shard in np.flatnonzero(cut[1:] > cut[:-1]).tolist():
-        yield shard, data[4 * cut[shard] : 4 * cut[shard + 1]]
+        yield shard, rows[cut[shard] : cut[shard + 1]].astype(np.uint32).tobytes()
 
 
 def _unpacked(data: bytes) -> tuple[np.ndarray, np.ndarray]:
@@ -176,34 +203,53 @@ def _unpacked(data: bytes) -> tuple[np.ndarray, np.ndarray]:
     return rows >> np.uint32(12), rows & np.uint32(0xFFF)
 
 
-def _numbered(batches: Iterable[list[bytes | None]], number: dict[bytes, int], words: int = PACKED_WORDS, docs: int = PACKED_DOCS):
-    """Packs of documents: places of their first pairs, first and second word numbers of all pairs, texts' words."""
-    seqs: list[list[bytes]] = []
-    held = 0
+@dataclass
+class _Pack:
+    """Documents: where the pairs of each begin, first and second word numbers of all pairs, symbols by document, and
+    the words without a number, one after another, with their number by document."""
+
+    starts: np.ndarray
+    first: np.ndarray
+    second: np.ndarray
+    symbols: np.ndarray
+    unknown: bytes
+    unknowns: np.ndarray
+
+
+def _numbered(batches: Iterable[list[bytes | None]], number: dict[bytes, int], words: int = PACKED_WORDS, docs: int = PACKED_DOCS) -> Iterator[_Pack]:
+    """Packs of documents. Of each word only its number is kept, or its bytes where it has none. An empty document has
+    one pair, of start and end."""
+    get = number.get
+    empty = lambda: (array("H"), array("q"), array("q"), bytearray(), array("q"))
+    second, starts, symbols, unknown, unknowns = empty()
+
+    def pack() -> _Pack:
+        w, begin = np.frombuffer(second, np.uint16), np.frombuffer(starts, np.int64)
+        first = np.empty_like(w)
+        first[1:] = w[:-1]
+        first[begin] = START
+        return _Pack(begin, first, w, np.frombuffer(symbols, np.int64), bytes(unknown), np.frombuffer(unknowns, np.int64))
+
     for texts in batches:
         for text in texts:
-            seqs.append(words_of(text) if text else [])
-            held += len(seqs[-1]) + 1
-            if held >= words or len(seqs) == docs:
-                yield (*_pairs(seqs, number), seqs)
-                seqs, held = [], 0
-    if seqs:
-        yield (*_pairs(seqs, number), seqs)
-
-
-def _pairs(seqs: list[list[bytes]], number: dict[bytes, int]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """An empty document has one pair, of start and end."""
-    lengths = np.fromiter(map(len, seqs), np.int64, len(seqs)) + 1
-    ends = np.cumsum(lengths)
-    first, second = np.empty(int(ends[-1]), np.uint16), np.empty(int(ends[-1]), np.uint16)
-    get = number.get
-    inner = np.ones(len(second), bool)
-    inner[ends - 1] = False
-    second[inner] = np.fromiter((get(w, UNKNOWN) for seq in seqs for w in seq), np.uint16, len(second) - len(seqs))
-    second[ends - 1] = END
-    first[1:] = second[:-1]
-    first[ends - lengths] = START
-    return ends - lengths, first, second
+            starts.append(len(second))
+            size = others = 0
+            for seq in _words(text or b""):
+                ids = np.fromiter((get(w, UNKNOWN) for w in seq), np.uint16, len(seq))
+                second.frombytes(ids.tobytes())
+                size += sum(map(len, seq)) + len(seq)
+                at = np.flatnonzero(ids == UNKNOWN).tolist()
+                others += len(at)
+                if at:
+                    unknown += b" ".join([seq[i] for i in at]) + b" "
+            second.append(END)
+            symbols.append(size)
+            unknowns.append(others)
+            if len(second) >= words or len(starts) == docs:
+                yield pack()
+                second, starts, symbols, unknown, unknowns = empty()
+    if starts:
+        yield pack()
 
 
 # --- counting
@@ -215,11 +261,12 @@ def word_counts(trusted: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: Counter[bytes] = Counter()
         for batch in batches:
-            for text in utf8(batch.column(0)):
-                seen.update(words_of(text or b""))
-                if len(seen) > HELD:
-                    yield rows(seen)
-                    seen.clear()
+            for text in chain.from_iterable(_texts(batch.column(0))):
+                for seq in _words(text or b""):
+                    seen.update(seq)
+                    if len(seen) > HELD:
+                        yield rows(seen)
+                        seen.clear()
         if seen:
             yield rows(seen)
 
@@ -247,10 +294,10 @@ def pair_counts(trusted: DataFrame, number: dict[bytes, int]) -> DataFrame:
     shared = trusted.sparkSession.sparkContext.broadcast(number)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for _, first, second, _ in _numbered((utf8(b.column(0)) for b in batches), shared.value, PACKED_WORDS, 1 << 30):
+        for p in _numbered(chain.from_iterable(_texts(b.column(0)) for b in batches), shared.value, PACKED_WORDS, 1 << 30):
             # a text without words has no pair
-            said = (first != START) | (second != END)
-            yield rows(_packs(*_split(*np.unique(_scrambled(first[said], second[said]), return_counts=True))))
+            said = (p.first != START) | (p.second != END)
+            yield rows(_packs(*_split(*np.unique(_scrambled(p.first[said], p.second[said]), return_counts=True))))
 
     def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         here, held, size = None, [], 0
@@ -288,6 +335,8 @@ def _whole(shard: int, low: np.ndarray) -> np.ndarray:
 
 def _split(pairs: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Counts of 12 bits at the most, larger ones as several."""
+    if not len(n) or n.max() <= 4095:
+        return pairs, n
     times = (n + 4094) // 4095
     last = np.cumsum(times) - 1
     out = np.full(int(times.sum()), 4095, np.int64)
@@ -416,40 +465,50 @@ def _sent(documents: DataFrame, model: Model) -> DataFrame:
 
         def texts() -> Iterator[list[bytes | None]]:
             for batch in batches:
-                waiting.append(batch.select([0, 1, 2]))
-                yield utf8(batch.column(3))
-
-        for starts, first, second, seqs in _numbered(texts(), model.number):
-            n = len(seqs)
+                # a copy, as columns of a batch share one buffer with its texts
+                waiting.append(batch.select([0, 1, 2]).take(pa.array(np.arange(batch.num_rows))))
+                yield from _texts(batch.column(3))
+
+        def spellings(words: list[bytes]) -> list[float]:
+            if len(spelled) > HELD:
+                spelled.clear()
+            new = list({w for w in words if w not in spelled})
+            spelled.update(zip(new, model.spelling.logs(new).tolist()))
+            return [spelled[w] for w in words]
+
+        def rows(p: _Pack) -> Iterator[pa.RecordBatch]:
+            n = len(p.starts)
             ids = pa.Table.from_batches(waiting)
             mine, rest = ids.slice(0, n), ids.slice(n)
             waiting[:] = rest.to_batches()
             row = mine.column(0).to_numpy()
             # documents of a task have consecutive row numbers
-            logs = model.log_left[first] + model.log_lower[second]
-            pairs = _scrambled(first, second)
-            place = np.repeat(np.arange(n), np.diff(np.append(starts, len(pairs))))
-            at = np.minimum(np.searchsorted(model.known, pairs), max(0, len(model.known) - 1))
-            known = model.known[at] == pairs if len(model.known) else np.zeros(len(pairs), bool)
-            logs[known] += model.known_gain[at[known]]
-            total = np.bincount(place, logs, n)
-            unknown = np.flatnonzero(second == UNKNOWN)
-            if len(unknown):
-                # the word at a pair's place in its document
-                of = place[unknown]
-                found = [seqs[d][i] for d, i in zip(of.tolist(), (unknown - starts[of]).tolist())]
-                if len(spelled) > HELD:
-                    spelled.clear()
-                new = list({w for w in found if w not in spelled})
-                spelled.update(zip(new, model.spelling.logs(new).tolist()))
-                total += np.bincount(of, [spelled[w] for w in found], n)
-            symbols = [sum(map(len, seq)) + len(seq) for seq in seqs]
+            place = np.repeat(np.arange(n, dtype=np.uint16), np.diff(np.append(p.starts, len(p.second))))
+            total, sent, size = np.zeros(n), np.empty(len(place), np.uint64), 0
+            for i in range(0, len(place), STEP_PAIRS):
+                first, second, of = (x[i : i + STEP_PAIRS] for x in (p.first, p.second, place))
+                logs = model.log_left[first] + model.log_lower[second]
+                pairs = _scrambled(first, second)
+                at = np.minimum(np.searchsorted(model.known, pairs), max(0, len(model.known) - 1))
+                known = model.known[at] == pairs if len(model.known) else np.zeros(len(pairs), bool)
+                logs[known] += model.known_gain[at[known]]
+                np.add.at(total, of, logs)
+                more = pairs[~known] << np.uint64(12) | of[~known].astype(np.uint64)
+                sent[size : size + len(more)] = more
+                size += len(more)
+            spelt, of, i = np.zeros(n), np.repeat(np.arange(n, dtype=np.uint16), p.unknowns), 0
+            for seq in _words(p.unknown):
+                np.add.at(spelt, of[i : i + len(seq)], spellings(seq))
+                i += len(seq)
             yield _batch(
-                n, shard=(-1 - row % SHARDS).astype(np.int32), kind=np.full(n, _DOCUMENT, np.int32), first=np.full(n, row[0]), row=row, doc_id=mine.column(1).combine_chunks(), lang=mine.column(2).combine_chunks(), symbols=symbols, logs=total
+                n, shard=(-1 - row % SHARDS).astype(np.int32), kind=np.full(n, _DOCUMENT, np.int32), first=np.full(n, row[0]), row=row, doc_id=mine.column(1).combine_chunks(), lang=mine.column(2).combine_chunks(), symbols=p.symbols, logs=total + spelt
             )
-            sent = list(_packs(pairs[~known], place[~known]))
-            if sent:
-                yield _batch(len(sent), shard=[s for s, _ in sent], kind=np.full(len(sent), _PAIRS, np.int32), first=np.full(len(sent), row[0]), pack=[d for _, d in sent])
+            if size:
+                packs = list(_by_shard(sent[:size]))
+                yield _batch(len(packs), shard=[s for s, _ in packs], kind=np.full(len(packs), _PAIRS, np.int32), first=np.full(len(packs), row[0]), pack=[d for _, d in packs])
+
+        for p in _numbered(texts(), model.number):
+            yield from rows(p)
 
     return documents.select("row", "doc_id", "lang", "text").mapInArrow(run, _ROWS)
 
@@ -465,10 +524,9 @@ def _looked_up(rows: DataFrame, model: Model) -> DataFrame:
         held: dict[int, np.ndarray] = {}
 
         def sums() -> pa.RecordBatch:
-            packs = [_sparse(of) for of in held.values()]
-            out = _batch(len(held), kind=np.full(len(held), _SUMS, np.int32), first=list(held), pack=packs)
-            held.clear()
-            return out
+            firsts = list(held)
+            packs = [_sparse(held.pop(first)) for first in firsts]
+            return _batch(len(packs), kind=np.full(len(packs), _SUMS, np.int32), first=firsts, pack=packs)
 
         for batch in batches:
             kind = batch.column(1).to_numpy()

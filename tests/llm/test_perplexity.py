@@ -2,8 +2,12 @@
 
 import math
 import random
+import tracemalloc
 from collections import Counter, defaultdict
+from types import SimpleNamespace
 
+import numpy as np
+import pyarrow as pa
 import pytest
 
 from nestra.llm import perplexity as P
@@ -179,3 +183,59 @@ def test_odd_rows(spark, odd):
     assert P.classify(odd.limit(0), labels).count() == 0
     none = P.classify(odd, labels.limit(0))  # no trusted text: all words are spelled, nothing is rejected
     assert none.count() == 7 and none.where("not kept").count() == 0
+
+
+class Mapped:
+    """Stands for a table: what is mapped over its batches runs here and now."""
+
+    def __init__(self, batches):
+        self.batches = batches
+        self.sparkSession = self.sparkContext = self
+
+    def broadcast(self, value):
+        return SimpleNamespace(value=value)
+
+    def select(self, *_):
+        return self
+
+    def mapInArrow(self, run, _):
+        """The largest number of bytes that Python and numpy held, and the rows that came out."""
+        tracemalloc.start()
+        try:
+            n = sum(b.num_rows for b in run(iter(self.batches)))
+            return tracemalloc.get_traced_memory()[1], n
+        finally:
+            tracemalloc.stop()
+
+
+@pytest.mark.parametrize("unknown", [False, True])
+def test_a_worker_holds_numbers_not_words(monkeypatch, unknown):
+    # three packs of documents whose words are all frequent, or all different and without a number
+    monkeypatch.setattr(P._numbered, "__defaults__", (1 << 18, P.PACKED_DOCS))
+    texts = [" ".join(f"{'u' if unknown else 'w'}{(i * 3000 + j) if unknown else j}" for j in range(3000)) for i in range(250)]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(250)), pa.array(range(250)), pa.array(["x"] * 250), pa.array(texts)], names=["row", "doc_id", "lang", "text"])
+    number = {b"w%d" % j: P.FIRST_WORD + j for j in range(3000)}
+    grams, counts = np.unique(P.byte_grams(list(number))[0], return_counts=True)
+    model = P._model(number, np.ones((P.IDS, 5), np.int64), np.ones(4, np.int64), P.Spelling(grams, counts))
+    monkeypatch.setattr(P, "HELD", 10_000)
+    peak, n = P._sent(Mapped([batch]), model)
+    assert n > 250 and peak < (28 << 20), f"{peak / 2**20:.0f} MB for packs of 262,144 words"
+
+
+def test_long_texts_are_taken_in_pieces(monkeypatch):
+    texts = [t.encode() for t in corpus(30, 6)] + [b"", None, b" \n ", b"x" * 50 + b"\t" + b"y" * 70, b"  a  "]
+    number = {w: i for i, w in enumerate(sorted({w for t in texts[:15] for w in t.split()}), P.FIRST_WORD)}
+    for step in (1, 7, 1 << 17):
+        monkeypatch.setattr(P, "STEP_BYTES", step)
+        at = 0
+        (pack,) = P._numbered([texts[:20], texts[20:]], number)
+        words = iter(pack.unknown.split())
+        for i, text in enumerate(texts):
+            seq = (text or b"").split()
+            ids = [number.get(w, P.UNKNOWN) for w in seq]
+            assert pack.starts[i] == at and pack.symbols[i] == sum(map(len, seq)) + len(seq)
+            assert pack.first[at : at + len(seq) + 1].tolist() == [P.START, *ids]
+            assert pack.second[at : at + len(seq) + 1].tolist() == [*ids, P.END]
+            assert [next(words) for _ in range(pack.unknowns[i])] == [w for w in seq if w not in number]
+            at += len(seq) + 1
+        assert at == len(pack.first) and next(words, None) is None
